@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from . import (
+    decontam,
     exact_dedup,
+    sharding,
 )
 
-MODULES = [exact_dedup]
+MODULES = [sharding, exact_dedup, decontam]
 
 
 def queries() -> dict:
