@@ -5,10 +5,11 @@ from __future__ import annotations
 from . import (
     decontam,
     exact_dedup,
+    pii,
     sharding,
 )
 
-MODULES = [sharding, exact_dedup, decontam]
+MODULES = [pii, sharding, exact_dedup, decontam]
 
 
 def queries() -> dict:
