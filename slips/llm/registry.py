@@ -5,11 +5,12 @@ from __future__ import annotations
 from . import (
     decontam,
     exact_dedup,
+    licenses,
     pii,
     sharding,
 )
 
-MODULES = [pii, sharding, exact_dedup, decontam]
+MODULES = [pii, sharding, licenses, exact_dedup, decontam]
 
 
 def queries() -> dict:
