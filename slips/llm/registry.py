@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    bpe,
     decontam,
     exact_dedup,
     licenses,
@@ -10,7 +11,7 @@ from . import (
     sharding,
 )
 
-MODULES = [pii, sharding, licenses, exact_dedup, decontam]
+MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam]
 
 
 def queries() -> dict:
