@@ -6,12 +6,14 @@ from . import (
     bpe,
     decontam,
     exact_dedup,
+    language,
     licenses,
     pii,
+    quality,
     sharding,
 )
 
-MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam]
+MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, quality]
 
 
 def queries() -> dict:
