@@ -8,12 +8,13 @@ from . import (
     exact_dedup,
     language,
     licenses,
+    near,
     pii,
     quality,
     sharding,
 )
 
-MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, quality]
+MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, quality, near]
 
 
 def queries() -> dict:
