@@ -1,8 +1,57 @@
-"""Corpus pipeline: the stages that turn raw documents into training tokens."""
+"""Corpus pipeline: from raw documents to the tokens of those worth training on.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of
+``documents``; the last returns one row of token digests per document. Between stages the rows are written as
+Parquet to the cluster's shared folder and read again, so a lost executor costs no earlier stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slips.llm import bpe, decontam, exact_dedup, near, quality
+from slips.llm.common import crc_mod, read_table, stash
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the labelled rows outside the held-out fold, does not reject."""
+    net = quality.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1), read_table(spark, sf_dir, "labels"))
+    return quality.accepted(docs, net)
+
+
+def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.unique(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.thin(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_deduplication),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("BPE encoding and decoding", bpe_encoding),
+]
+
+#: A trained network and a tokenizer have no SQL form; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stash(docs, f"stage{k}")
+    return docs

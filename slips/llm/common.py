@@ -56,3 +56,19 @@ def words(text: Column) -> Column:
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text modulo ``m``; a null id counts as the empty text (0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
+
+
+#: Dropped rows (about 50 bytes each) that are broadcast; more are removed by a shuffle join.
+BROADCAST_DROPPED = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` less the rows whose ``keys`` (name in ``dropped`` to expression over docs) are listed; nulls match nulls.
+
+    Texts are not shuffled as long as the list fits ``BROADCAST_DROPPED``.
+    """
+    listed = stash(dropped.select(*keys).distinct(), "dropped")
+    small = listed.count() <= BROADCAST_DROPPED
+    named = listed.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    on = [e.eqNullSafe(F.col(f"__{k}")) for k, e in keys.items()]
+    return docs.join(F.broadcast(named) if small else named, on, "left_anti")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash, words
+from .common import read_table, stash, without, words
 
 WINDOW = 13
 #: Windows of a block that is broadcast (about 100 bytes each); a larger benchmark takes more blocks.
@@ -68,7 +68,7 @@ def hits(split: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: id, h (hash of id and text), n_words, n_hit, n_items, items_sha256, contaminated."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Documents are told apart by id and text hash, so ids that repeat or are null do no harm.
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("h"), words(F.col(text_col)).alias("w"))
@@ -90,6 +90,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return counted.select(
         F.col("id").alias(id_col),
+        "h",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items_of).cast("long").alias("n_items"),
@@ -98,8 +99,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the contaminated ones."""
+    dropped = decontaminate(docs, items, id_col, text_col).where("contaminated")
+    return without(docs, dropped, **{id_col: F.col(id_col), "h": F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))})
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("h")
 
 
 QUERIES = {"op6_benchmark_decontamination": op6_benchmark_decontamination}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
+from .common import read_table, stash, without
 
 #: Code points of the prefix that the second level hashes.
 PREFIX = 64
@@ -66,6 +66,13 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     )
 
 
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows that another row of equal text replaces."""
+    dropped = refine(docs, id_col, text_col).where("not kept")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return without(docs, dropped, **{id_col: F.col(id_col), "text_sha256": digest})
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine(read_table(spark, sf_dir, "documents"), digest_all=True)
 

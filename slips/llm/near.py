@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
+from .common import read_table, stash, without
 from .texts import mix, powers, slices, text_buffer, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -164,7 +164,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = total
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, recall: float = RECALL, keep_key: bool = False) -> DataFrame:
     """One row per input row: id, class_id (least id of its class), n_links (other texts linked to
     this one) and n_copies (other rows with the same text)."""
     bands, rows = banding(similar, recall)
@@ -215,7 +215,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     told = stash(told.select("key", "least", "copies", F.coalesce("root", "nid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-told")
     named_class = told.groupBy("root").agg(F.min("least").alias("class_id"))
     told = told.join(named_class, "root").select("key", "class_id", "n_links", (F.col("copies") - 1).alias("n_copies"))
-    return seen.select(F.col("id").alias(id_col), "key").join(told, "key").drop("key")
+    out = seen.select(F.col("id").alias(id_col), "key").join(told, "key")
+    return out if keep_key else out.drop("key")
+
+
+def thin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each class, the one with the least id."""
+    found = classes(docs, id_col, text_col, keep_key=True)
+    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("class_id")))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return without(docs, dropped, **{id_col: F.col(id_col), "key": digest})
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

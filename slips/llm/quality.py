@@ -189,6 +189,19 @@ def score(docs: DataFrame, net: Network, keep: list[str], text_col: str = "text"
     return narrow.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` less the rows that score below the threshold; all columns stay."""
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, at = text_buffer(batch.column(at_text))
+            found = [net.score(body[at[low] : at[high]], at[low : high + 1] - at[low]) for low, high in slices(at, 1 << 18)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *found]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
     net = fit(docs.where(~F.col("held_out")), read_table(spark, sf_dir, "labels"))
