@@ -8,13 +8,14 @@ from . import (
     exact_dedup,
     language,
     licenses,
+    lm,
     near,
     pii,
     quality,
     sharding,
 )
 
-MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, quality, near]
+MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, lm, quality, near]
 
 
 def queries() -> dict:
