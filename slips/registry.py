@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from slips.plans import queries_receipts
+
+MODULES = [queries_receipts]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return queries_receipts.api2_receipts(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
