@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slips.plans import queries_receipts
+from slips.plans import queries_parts, queries_receipts
 
-MODULES = [queries_receipts]
+MODULES = [queries_receipts, queries_parts]
 
 
 def flagship(spark, sf_dir):
