@@ -182,3 +182,12 @@ ENHANCE = [
     (r"(PWD\s+ID#)\s*:?\s*(\d)", "$1 : $2", True),
     (r"(\d+%)\s*x\s*(\d)", "$1 x $2", True),
 ]
+
+# --- Gates: what any line must have before the patterns of a field are tried (ours, not fixed values) --------
+
+GATE_INVOICE = r"#|INVOICE|RECEIPT|O\.R\.|S\.I\.|SI\s+NO|TXN|TRANSACTION|CONTROL"
+GATE_DATE = r"\d[/\-\.]\d|JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC"
+GATE_TIME = r"\d:\d\d"
+GATE_TOTAL = "TOTAL|AMOUNT|NET"
+GATE_VAT = "VAT|TAX"
+GATE_TIN = "TIN"

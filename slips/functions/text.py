@@ -53,6 +53,11 @@ def first_by_pattern(lines: Column, tries: list[Callable[[Column], Column]]) ->
     return F.coalesce(*[first(F.transform(lines, t)) for t in tries])
 
 
+def candidates(lines: Column, gate: str) -> Column:
+    """Lines that a cheap pattern lets through; it must hold for every line that the costly ones would match."""
+    return F.filter(lines, lambda x: x.rlike(rx(gate)))
+
+
 def amount(text: Column) -> Column:
     """Digits with thousands separators as a number; null if they are none."""
     return F.regexp_replace(text, ",", "").try_cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from slips.functions import patterns as P
-from slips.functions.text import either, rx, strip
+from slips.functions.text import either, let, rx, strip
 
 #: Chain and layout patterns by type, in order of priority. ``register_layout`` adds to it.
 SIGNATURES = dict(P.SIGNATURES)
@@ -14,8 +14,10 @@ SIGNATURES = dict(P.SIGNATURES)
 
 def by_chain(lines: Column) -> Column:
     """Type whose chain name occurs; blanks in a name may be a line break."""
-    block = F.array_join(lines, "\n")
-    return F.coalesce(*[F.when(block.rlike(rx(either(chains))), name) for name, (chains, _) in SIGNATURES.items()])
+    def named(block):
+        return F.coalesce(*[F.when(block.rlike(rx(either(chains))), name) for name, (chains, _) in SIGNATURES.items()])
+
+    return let(F.array_join(lines, "\n"), named)
 
 
 def by_layout(lines: Column) -> Column:
@@ -41,10 +43,11 @@ def by_shape(lines: Column) -> Column:
 
 def classify(lines: Column) -> Column:
     """struct<receipt_type, receipt_type_confidence> of cleaned lines."""
+    def told(v):
+        kind = F.coalesce(v["sure"], v["shape"], F.lit("generic"))
+        sure = F.when(v["sure"].isNotNull(), "high").when(v["shape"].isNotNull(), "medium").otherwise("low")
+        return F.struct(kind.alias("receipt_type"), sure.alias("receipt_type_confidence"))
+
     some = F.size(lines) > 0
-    sure = F.when(some, F.coalesce(by_chain(lines), by_layout(lines)))
-    shape = F.when(some & sure.isNull(), by_shape(lines))
-    return F.struct(
-        F.coalesce(sure, shape, F.lit("generic")).alias("receipt_type"),
-        F.when(sure.isNotNull(), "high").when(shape.isNotNull(), "medium").otherwise("low").alias("receipt_type_confidence"),
-    )
+    known = F.when(some, F.coalesce(by_chain(lines), by_layout(lines)))
+    return let(known, lambda sure: let(F.struct(sure.alias("sure"), F.when(some & sure.isNull(), by_shape(lines)).alias("shape")), told))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from slips.functions import patterns as P
-from slips.functions.text import amount, first, first_by_line, first_by_pattern, found, money, rx, strip
+from slips.functions.text import amount, candidates, first, first_by_line, first_by_pattern, found, let, money, rx, strip
 
 PLAIN_TYPES = ("fast_food", "department_store")
 
@@ -45,19 +45,19 @@ def store_name(lines: Column) -> Column:
 
 
 def invoice_number(lines: Column) -> Column:
-    def group(patterns):
-        def one(p):
-            return lambda x: F.when(F.char_length(strip(found(x, rx(p)))) >= 4, strip(found(x, rx(p))))
+    def one(p):
+        return lambda x: F.when(x.rlike(rx(p)), let(strip(found(x, rx(p))), lambda v: F.when(F.char_length(v) >= 4, v)))
 
-        return first_by_line(lines, [one(p) for p in patterns])
+    def both(some):
+        return F.coalesce(first_by_line(some, [one(p) for p in P.INVOICES]), first_by_line(some, [one(p) for p in P.TRANSACTIONS]))
 
-    return F.coalesce(group(P.INVOICES), group(P.TRANSACTIONS))
+    return let(candidates(lines, P.GATE_INVOICE), both)
 
 
 def _dated(pattern: str):
     """First match of a date, unless a hyphen follows it: that is a range."""
     ranged = rx(pattern + "(-?)")
-    return lambda x: F.when(x.rlike(ranged) & (F.regexp_extract(x, ranged, 2) == ""), strip(found(x, ranged)))
+    return lambda x: F.when(x.rlike(ranged), F.when(F.regexp_extract(x, ranged, 2) == "", strip(found(x, ranged))))
 
 
 def txn_date(line: Column) -> Column:
@@ -74,42 +74,59 @@ def txn_date(line: Column) -> Column:
 
 def date(lines: Column) -> Column:
     sure = [_dated(p) for p in P.DATES_FULL + P.DATES_SHORT_YEAR]
-    short = F.filter(lines, lambda x: F.char_length(x) <= 25)
-    told = F.filter(lines, lambda x: x.rlike(rx(P.DATE_CONTEXT)))
-    told_or_short = F.filter(lines, lambda x: x.rlike(rx(P.DATE_CONTEXT)) | (F.char_length(x) <= 20))
-    return F.coalesce(
-        first_by_line(short, sure),
-        first_by_line(lines, sure),
-        first_by_line(told_or_short, [_dated(p) for p in P.DATES_PARTIAL]),
-        first_by_line(told, [_dated(p) for p in P.DATES_LAST]),
-        first_by_line(lines, [txn_date]),
-    )
+    told = lambda x: x.rlike(rx(P.DATE_CONTEXT))
+
+    def tried(some):
+        return F.coalesce(
+            first_by_line(F.filter(some, lambda x: F.char_length(x) <= 25), sure),
+            first_by_line(some, sure),
+            first_by_line(F.filter(some, lambda x: (F.char_length(x) <= 20) | told(x)), [_dated(p) for p in P.DATES_PARTIAL]),
+            first_by_line(F.filter(some, told), [_dated(p) for p in P.DATES_LAST]),
+            first_by_line(some, [txn_date]),
+        )
+
+    return let(candidates(lines, P.GATE_DATE), tried)
 
 
 def time(lines: Column) -> Column:
-    return first_by_line(lines, [lambda x: strip(found(x, rx(P.TIME)))])
+    return first_by_line(candidates(lines, P.GATE_TIME), [lambda x: strip(found(x, rx(P.TIME)))])
+
 
+def before_price(lines: Column, price: Column, gate: str) -> Column:
+    """Gated lines with the positive price that stands on the line after: array<struct<x, p>>."""
+    after = F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.get(price, i + 1).alias("p")))
+    return F.filter(after, lambda r: (r["p"] > 0) & r["x"].rlike(rx(gate)))
 
-def after_keyword(lines: Column, price: Column, keyword: str) -> Column:
-    """The price on the line after the first keyword line that has one."""
-    return first(F.transform(lines, lambda x, i: F.when(x.rlike(rx(keyword)) & (F.get(price, i + 1) > 0), F.get(price, i + 1))))
+
+def after_keyword(pairs: Column, keyword: str) -> Column:
+    """The price after the first of ``before_price``'s lines that is the keyword."""
+    return F.get(F.filter(pairs, lambda r: r["x"].rlike(rx(keyword))), 0)["p"]
 
 
 def total(lines: Column, price: Column) -> Column:
-    inline = first_by_pattern(lines, [(lambda p: lambda x: amount(found(x, rx(p + P.AMOUNT_AFTER))))(p) for p in P.TOTAL_NAMES])
-    split = F.coalesce(*[after_keyword(lines, price, rf"^{p}\s*[:\-]?\s*$") for p in P.TOTAL_LINES])
-    return F.coalesce(inline, split)
+    def one(p):
+        return lambda x: amount(found(x, rx(p + P.AMOUNT_AFTER)))
+
+    def split(pairs):
+        return F.coalesce(*[after_keyword(pairs, rf"^{p}\s*[:\-]?\s*$") for p in P.TOTAL_LINES])
+
+    inline = let(candidates(lines, P.GATE_TOTAL), lambda some: first_by_pattern(some, [one(p) for p in P.TOTAL_NAMES]))
+    return F.coalesce(inline, let(before_price(lines, price, P.GATE_TOTAL), split))
 
 
 def vat(lines: Column, price: Column) -> Column:
     def positive(p):
-        return lambda x: F.when(amount(found(x, rx(p + P.AMOUNT_AFTER))) > 0, amount(found(x, rx(p + P.AMOUNT_AFTER))))
+        return lambda x: let(amount(found(x, rx(p + P.AMOUNT_AFTER))), lambda v: F.when(v > 0, v))
 
-    return F.coalesce(first_by_pattern(lines, [positive(p) for p in P.VAT_NAMES]), after_keyword(lines, price, P.VAT_LINE))
+    inline = let(candidates(lines, P.GATE_VAT), lambda some: first_by_pattern(some, [positive(p) for p in P.VAT_NAMES]))
+    return F.coalesce(inline, after_keyword(before_price(lines, price, P.GATE_VAT), P.VAT_LINE))
 
 
 def tin(lines: Column) -> Column:
-    return first_by_pattern(lines, [(lambda p: lambda x: strip(found(x, rx(p))))(p) for p in P.TINS])
+    def one(p):
+        return lambda x: strip(found(x, rx(p)))
+
+    return let(candidates(lines, P.GATE_TIN), lambda some: first_by_pattern(some, [one(p) for p in P.TINS]))
 
 
 def confidence(store: Column, total_: Column, date_: Column, n_items: Column, invoice: Column) -> Column:

@@ -124,19 +124,21 @@ def neighbour_items(lines: Column, layout: str) -> Column:
     def inline_item(x, i, skip):
         """An item written on one line, with a count if the layout has one."""
 
-        def good(name, price):
-            ok = (price > 0) & ~F.array_contains(skip, price) & is_name(name, layout)
-            return ok & (F.char_length(name) >= 3) & name.rlike("^[A-Za-z]") if layout == "generic" else ok
-
-        tries = []
+        def kept(v):
+            ok = (v["price"] > 0) & ~F.array_contains(skip, v["price"]) & is_name(v["name"], layout)
+            if layout == "generic":
+                ok = ok & (F.char_length(v["name"]) >= 3) & v["name"].rlike("^[A-Za-z]")
+            return F.when(ok, item(i, v["name"], v["price"], v["qty"]))
+
+        def tried(pattern, name_at, price_at, qty_at=None):
+            p = rx(pattern, False)
+            qty = F.lit(None).cast("int") if qty_at is None else found(x, p, qty_at).try_cast("int")
+            parts = F.struct(strip(found(x, p, name_at)).alias("name"), amount(found(x, p, price_at)).alias("price"), qty.alias("qty"))
+            return F.when(x.rlike(p), let(parts, kept))
+
+        tries = [tried(how.inline, 1, 2)]
         if how.inline_qty:
-            p = rx(how.inline_qty, False)
-            name_at, qty_at = (2, 1) if how.qty_first else (1, 2)
-            name, price = strip(found(x, p, name_at)), amount(found(x, p, 3))
-            tries.append(F.when(good(name, price), item(i, name, price, found(x, p, qty_at).try_cast("int"))))
-        p = rx(how.inline, False)
-        name, price = strip(found(x, p, 1)), amount(found(x, p, 2))
-        tries.append(F.when(good(name, price), item(i, name, price)))
+            tries.insert(0, tried(how.inline_qty, 2, 3, 1) if how.qty_first else tried(how.inline_qty, 1, 3, 2))
         return F.coalesce(*tries)
 
     def scan(v):
@@ -202,27 +204,36 @@ def line_features(lines: Column, layout: str) -> Column:
         "end": test(LAYOUTS[layout].zone_end),
     }
     inline, inline_qty = rx(P.INLINE_TAXED, False), rx(P.SM_INLINE_QTY, False)
-    qty_line = rx(P.QTY_LINE, False)
+    qty_line, discount = rx(P.QTY_LINE, False), rx(P.RX_DISCOUNT_PRICE)
+    none = lambda t: F.lit(None).cast(t)
+    kinds = "struct<name:string,qty:int>"
+
+    def named(x, pattern, late):
+        """The built name before a price or count on the same line, if it can name an item."""
+        return F.when(x.rlike(pattern), let(strip(found(x, pattern)), lambda name: F.when(is_name(name, layout, late), built(name))))
 
     def one(x, i):
         late = (n > 8) & (i > 0) & (i / n > 0.75)
-        name, counted, parts = strip(found(x, inline)), strip(found(x, inline_qty)), found(x, inline_qty, 2)
+        parts = lambda: found(x, inline_qty, 2)
+        counted = layout == "supermarket"
+        price = price_of(x, layout)
+        can_name = F.lit(True) if layout == "inline_price" else price.isNull()
         return F.struct(
             *(f(x).alias(k) for k, f in marks.items()),
             F.char_length(x).alias("length"),
             x.alias("text"),
-            built(x).alias("item"),
+            F.when(can_name, built(x)).otherwise(none(kinds)).alias("item"),
             is_name(x, layout, late).alias("name"),
             (is_name(x, layout) if pharmacy else F.lit(False)).alias("loose"),
-            price_of(x, layout).alias("price"),
+            price.alias("price"),
             F.when(x.rlike(qty_line), found(x, qty_line).try_cast("int")).alias("qty"),
             F.when(x.rlike(qty_line), amount(found(x, qty_line, 2))).alias("unit"),
-            F.when(is_name(name, layout, late), built(name)).alias("inline"),
+            named(x, inline, late).alias("inline"),
             amount(found(x, inline, 2)).alias("inline_price"),
-            F.when(F.lit(layout == "supermarket") & is_name(counted, "supermarket"), built(counted)).alias("counted"),
-            found(parts, qty_line).try_cast("int").alias("counted_qty"),
-            amount(found(parts, qty_line, 2)).alias("counted_unit"),
-            (amount(found(x, rx(P.RX_DISCOUNT_PRICE))) if pharmacy else F.lit(None).cast("double")).alias("discount"),
+            (named(x, inline_qty, None) if counted else none(kinds)).alias("counted"),
+            (found(parts(), qty_line).try_cast("int") if counted else none("int")).alias("counted_qty"),
+            (amount(found(parts(), qty_line, 2)) if counted else none("double")).alias("counted_unit"),
+            (amount(found(x, discount)) if pharmacy else none("double")).alias("discount"),
         )
 
     return F.transform(lines, one)
