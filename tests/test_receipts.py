@@ -20,7 +20,7 @@ EXPECTED = {
     "generic": (GENERIC, "generic", "low", None, None, None, None, None, 1, 0.6, None, [("WIDGET", 12.5, 1, None, None)]),
     "empty": (" ¦ ", "generic", "low", None, None, None, None, None, 0, 0.0, None, []),
     # A coded name past filler, and the discount that stands in for its missing price.
-    "coded": ("ROSE PHARMACY ¦ MOBILE 1 ¦ PA99S/S ¦ BIOGESIC TAB ¦ 3 @ 5.00 ¦ 480036140523 ¦ 15.00T ¦ TOTAL ¦ 15.00", "pharmacy_column", "high", None, None, None, "₱15.00", None, 3, 0.85, None, [("BIOGESIC TAB", 15.0, 3, 5.0, "480036140523")]),
+    "coded": ("ROSE PHARMACY ¦ MOBILE 1 ¦ PA99S/S ¦ BIOGESIC TAB ¦ 3 @ 5.00 ¦ 480036140523 ¦ 15.00T ¦ TOTAL ¦ 15.00", "pharmacy_column", "high", None, None, None, "₱15.00", None, 3, 0.85, "item_sum_exceeds_total", [("BIOGESIC TAB", 15.0, 3, 5.0, "480036140523")]),
     # Adjacent name, barcode, count and price.
     "adjacent": ("WATSONS ¦ MOBILE 1 ¦ PHP ¦ COTTON BALLS ¦ 480036140524 ¦ 2 @ 20.00 ¦ 40.00 ¦ SUBTOTAL ¦ GRAND TOTAL ¦ 40.50", "pharmacy_column", "high", None, None, None, "₱40.50", None, 2, 0.85, "item_sum_exceeds_total", [("COTTON BALLS", 40.0, 2, 20.0, "480036140524")]),
 }
