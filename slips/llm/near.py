@@ -4,10 +4,11 @@ Two texts are linked if the Jaccard similarity of their sets of five-word shingl
 and row counts are chosen for a target recall at that similarity. Texts are shuffled on their band hashes,
 and candidates are verified on full shingle sets.
 
-Crowded bands never emit all their pairs. Exact copies are one node. In each band the least node is the
-pivot that the others are verified against; texts within half the distance of a pivot (0.9 or more) form
-its ball. Jaccard distance is a metric, so all members of a ball are linked to each other: those links are
-counted, not enumerated, and only pairs between different balls are verified one by one.
+Exact copies are one node. Small buckets (nodes with one band hash in common) emit their pairs, which are
+verified one by one. Crowded buckets never do: their members are cut into blocks, and each pair of blocks is
+one tile that a task compares as a whole. Out of a tile come each member's number of links and a spanning
+forest of them, so rows stay in proportion to members while no link is lost. A pair that meets in several
+buckets is counted in one: in the small-bucket path if any of its buckets is small, else in its first band.
 
 A text of fewer than five words, but not none, has one shingle of all its words. Texts without words
 (empty or null) have no links; equal ones are copies of each other and share a class. Rows with null ids take part
@@ -31,8 +32,10 @@ from .texts import mix, powers, slices, text_buffer, word_hashes
 SHINGLE, SIMILAR = 5, 0.8
 #: Chance of finding a pair at the threshold, and the most hashes of a signature.
 RECALL, MOST_HASHES = 0.9999, 150
-#: Rounds of pivots; nodes (24 bytes each) that are broadcast to fetch their texts, more are joined by shuffle.
-ROUNDS, BROADCAST_NODES = 2, 500_000
+#: Most nodes of a bucket that emits pairs; nodes of a block of a crowded one.
+SMALL, BLOCK = 16, 512
+#: Nodes (24 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
+BROADCAST_NODES = 500_000
 
 
 def banding(similar: float = SIMILAR, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -141,11 +144,102 @@ def nodes_texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     return rows.join(F.broadcast(wanted) if small else wanted, "key").select("nid", "t").dropDuplicates(["nid"])
 
 
-def centres(members: DataFrame, texts: DataFrame, close: float) -> DataFrame:
-    """nid and centre of nodes that are within ``close`` of the pivot of one of their bands."""
-    pivots = members.groupBy("h").agg(F.min("nid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "pivot")
-    pairs = members.join(pivots, "h").where("nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct()
-    return similarity(pairs, texts).where(F.col("j") >= close).groupBy("a").agg(F.min("b").alias("centre")).withColumnRenamed("a", "nid")
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pair of sets has in common."""
+    n = len(sets)
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.lexsort((owner, shingle))
+    shingle, owner = shingle[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1]))) if len(shingle) else np.zeros(0, int)
+    count = np.diff(np.append(first, len(shingle)))
+    out = np.zeros((n, n), np.float32)
+    for c in range(2, 8):  # shingles of few sets, pair by pair
+        at = first[count == c]
+        for i in range(c):
+            for j in range(i + 1, c):
+                np.add.at(out, (owner[at + i], owner[at + j]), 1)
+    out += out.T
+    often, sizes = first[count >= 8], count[count >= 8]
+    for low in range(0, len(often), 2048):  # the others by matrix product
+        k = sizes[low : low + 2048]
+        grid = np.zeros((n, len(k)), np.float32)
+        column = np.repeat(np.arange(len(k)), k)
+        grid[owner[np.repeat(often[low : low + 2048], k) + np.arange(len(column)) - np.repeat(np.cumsum(k) - k, k)], column] = 1
+        out += grid @ grid.T
+    return out
+
+
+def tile_links(sets: list[np.ndarray], bands: np.ndarray, crowded: np.ndarray, band: int, sides: np.ndarray, similar: float) -> np.ndarray:
+    """Which pairs of a tile's members are links that no other bucket counts (symmetric mask).
+
+    ``crowded`` has a bit for each band whose bucket is crowded; ``sides`` parts the two blocks of a tile.
+    """
+    sizes = np.array([len(x) for x in sets], np.float32)
+    shared = shared_counts(sets)
+    mask = shared >= np.float32(similar) * (sizes[:, None] + sizes[None] - shared) - 1e-3
+    close = np.argwhere(np.triu(mask, 1))  # decided in whole numbers
+    i, j = close[:, 0], close[:, 1]
+    both = shared[i, j].astype(np.int64)
+    exact = both / np.maximum(1, sizes[i].astype(np.int64) + sizes[j].astype(np.int64) - both) >= similar
+    if sides.any():
+        exact &= sides[i] != sides[j]
+    for b in range(bands.shape[1]):
+        is_crowded = (crowded[i] >> b & 1).astype(bool)
+        elsewhere = ~is_crowded | (b < band)
+        exact &= ~((bands[i, b] == bands[j, b]) & elsewhere) if b != band else True
+    out = np.zeros_like(mask)
+    out[i[exact], j[exact]] = True
+    return out | out.T
+
+
+def forest(mask: np.ndarray) -> np.ndarray:
+    """Least member of each member's component."""
+    label = np.arange(len(mask))
+    while True:
+        least = np.minimum(label, np.where(mask, label[None], len(mask)).min(axis=1))
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def crowded_links(members: DataFrame, texts: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """nid, links and root of members of crowded buckets, a row for each tile they are in."""
+    masks = members.where("crowded").groupBy("nid").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.where("crowded").select("h", "band", "nid", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    tiled = own.select("h", "band", "nid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiled = tiled.select("h", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "nid")
+    known = masks.join(nodes.select("nid", "bands"), "nid").join(texts, "nid")
+    rows = tiled.join(known, "nid").select("h", "i", "j", "band", "side", "nid", "mask", "bands", "t")
+    placed = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "nid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            tile = pa.Table.from_batches(held)
+            body, at = text_buffer(tile.column("t"))
+            sets = [np.unique(shingles(body, at[k : k + 2])[0]) for k in range(len(tile))]
+            bands = np.array(tile.column("bands").to_pylist(), np.int64)
+            mask = tile_links(sets, bands, tile.column("mask").to_numpy(), tile.column("band")[0].as_py(), tile.column("side").to_numpy(), similar)
+            nid = tile.column("nid").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(nid), pa.array(mask.sum(axis=1).astype(np.int64)), pa.array(nid[forest(mask)])], names=["nid", "links", "root"])
+
+        held, last = [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)] if len(batch) else []
+            low = 0
+            for high in ends:
+                now = tuple(key[low])
+                if held and now != last:
+                    yield done(held)
+                    held = []
+                held.append(batch.slice(low, high - low))
+                last, low = now, high
+        if held:
+            yield done(held)
+
+    return placed.mapInArrow(run, "nid long, links long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,45 +266,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     grouped = seen.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     nodes = stash(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
 
-    # Members of bands that hold several nodes.
-    banded = nodes.select("nid", F.explode("bands").alias("h"))
-    crowded = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    members = stash(banded.join(crowded, "h", "left_semi"), "near-members")
+    # Members of buckets that hold several nodes.
+    banded = nodes.select("nid", F.posexplode("bands").alias("band", "h"))
+    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stash(banded.join(shared, "h").withColumn("crowded", F.col("n") > SMALL), "near-members")
     texts = stash(nodes_texts(docs, nodes.join(members.select("nid").distinct(), "nid", "left_semi").select("key", "nid"), text_col), "near-texts")
 
-    # Balls: rounds of pivots, each over the nodes that have no centre yet.
-    close, balls, open_ = 1 - (1 - similar) / 2, None, members
-    for _ in range(ROUNDS):
-        found = stash(centres(open_, texts, close), "near-centres")
-        balls = found if balls is None else balls.unionByName(found)
-        taken = balls.select("nid").union(balls.select(F.col("centre").alias("nid"))).distinct()
-        open_ = members.join(taken, "nid", "left_anti")
-    centre = F.coalesce("centre", "nid").alias("centre")
-    placed = stash(members.join(balls, "nid", "left").select("h", "nid", centre), "near-placed")
-
-    # Pairs between different balls of a band: first of balls, then of their members.
-    held = placed.groupBy("h", "centre").agg(F.count(F.lit(1)).alias("n"))
-    mixed = held.groupBy("h").agg(F.count(F.lit(1)).alias("balls")).where("balls > 1").select("h")
-    held = held.join(mixed, "h", "left_semi").select("h", "centre")
-    other = held.select("h", F.col("centre").alias("other"))
-    sides = held.join(other, "h").where("centre < other")
-    left = placed.select("h", "centre", F.col("nid").alias("x"))
-    right = placed.select("h", F.col("centre").alias("other"), F.col("nid").alias("y"))
-    crossed = sides.join(left, ["h", "centre"]).join(right, ["h", "other"])
-    pairs = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    few = members.where("not crowded").select("h", "nid")
+    pairs = few.select("h", F.col("nid").alias("a")).join(few.select("h", F.col("nid").alias("b")), "h").where("a < b").select("a", "b").distinct()
     links = stash(similarity(pairs, texts).where(F.col("j") >= similar).select("a", "b"), "near-links")
+    tiles = stash(crowded_links(members, texts, nodes, similar), "near-tiles")
 
-    of = placed.select("nid", "centre").distinct()
-    ends = links.select(F.col("a").alias("nid")).unionAll(links.select(F.col("b").alias("nid"))).groupBy("nid").agg(F.count(F.lit(1)).alias("across"))
-    sizes = of.groupBy("centre").agg(F.count(F.lit(1)).alias("size"))
-    named = lambda c, out: of.select(F.col("nid").alias(c), F.col("centre").alias(out))
-    roots = components(links.join(named("a", "u"), "a").join(named("b", "v"), "b").where("u <> v").select("u", "v"))
-    linked = (
-        of.join(sizes, "centre")
-        .join(ends, "nid", "left")
-        .join(roots.withColumnRenamed("node", "centre"), "centre", "left")
-        .select("nid", F.coalesce("root", "centre").alias("root"), (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"))
-    )
+    ends = links.select(F.col("a").alias("nid"), F.lit(1).cast("long").alias("links")).unionAll(links.select("b", F.lit(1).cast("long"))).unionAll(tiles.select("nid", "links"))
+    counted = ends.groupBy("nid").agg(F.sum("links").alias("n_links"))
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(tiles.where("nid <> root").select("nid", "root")))
+    linked = counted.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("root", "nid").alias("root"), "n_links")
     told = nodes.select("nid", "key", "least", "copies").join(linked, "nid", "left")
     told = stash(told.select("key", "least", "copies", F.coalesce("root", "nid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-told")
     named_class = told.groupBy("root").agg(F.min("least").alias("class_id"))
