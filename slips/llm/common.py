@@ -17,12 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder for sessions whose cluster names none: local runs and tests.
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the cluster names none."""
+    """The folder all executors share; one of our own only where the cluster names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="slips-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _OWN_DIR:
+            _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="slips-"))
+        folder = _OWN_DIR[0]
     return folder
 
 
@@ -30,11 +35,13 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write a narrow intermediate to shared storage and read it back.
 
     Cuts the lineage like ``checkpoint()`` but keeps columnar, compressed files, so later
-    branches prune columns and lost executors cost no recomputation.
+    branches prune columns and lost executors cost no recomputation. The files go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/slips-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
