@@ -115,7 +115,7 @@ def judged(kind: int, strict: bool, s: Column, d: Column) -> Column:
         0: (yes, None, m.rlike(rf"(?i)\.(?:{DOMAIN_ENDINGS})$"), F.length(m).between(6, 64)),
         1: (m.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"), None, ~m.rlike(r"^0*(?:0|127|255)\."), n >= 7),
         2: (n.between(12, 19) & F.when(n.between(12, 19), luhn(d)), n.between(12, 19) & F.when(n.between(12, 19), luhn(d)), d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), n.isin(13, 14, 15, 16)),
-        3: (n.between(9, 15), None, m.rlike(r"^\+(?:1|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"), n.between(10, 13)),
+        3: (n.between(9, 15), None, F.when(m.startswith("+"), m.rlike(r"^\+(?:1|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])")), n.between(10, 13)),
         4: (yes, None, m.rlike(r"^(?:Mr|Mrs|Dr|Prof)"), m.rlike("^[A-Za-z.]+ [A-Z][a-z]{2,14}(?: [A-Z][a-z]{2,14})?$")),
     }[kind]
     base = valid if strict else never
@@ -148,7 +148,13 @@ def candidates(text: Column) -> Column:
         if kind == 2:
             one = F.filter(one, lambda c: c["base"] | c["code"].rlike("^2..[12]2."))
         found.append(one)
-    return F.concat(*found)
+
+    def apart(every):
+        """Base spans, and other candidates that overlap none of them."""
+        base = F.filter(every, lambda x: x["base"])
+        return let(base, lambda b: F.filter(every, lambda x: x["base"] | ~F.exists(b, lambda y: (y["first"] < x["end"]) & (x["first"] < y["end"]))))
+
+    return let(F.concat(*found), apart)
 
 
 @dataclass
@@ -224,12 +230,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     model = train({r["code"]: r["count"] for r in counted})
 
     def kept(v):
-        base = F.filter(v["c"], lambda x: x["base"])
         scored = F.transform(v["c"], lambda x: x.withField("p", F.when(x["base"], 1.0).otherwise(model.score(x["code"]))))
-        free = F.filter(
-            scored,
-            lambda x: x["base"] | ((x["p"] >= threshold) & ~F.exists(base, lambda b: (b["first"] < x["end"]) & (x["first"] < b["end"]))),
-        )
+        free = F.filter(scored, lambda x: x["base"] | (x["p"] >= threshold))
         order = F.transform(free, lambda x: F.struct(x["first"], x["kind"], x["end"], x["base"], x["p"]))
         return F.array_sort(order)
 
