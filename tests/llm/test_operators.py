@@ -206,7 +206,8 @@ def test_bpe_random_texts():
 
 
 def test_bpe_reuses_and_repairs():
-    passage = LONG[:9000]
+    r = np.random.default_rng(8)
+    passage = " ".join("".join(r.choice([*"abcdefgh"], int(n))) for n in r.integers(2, 9, 5000))
     e = bpe.Encoder(bpe.default_tokenizer())
     e.encode([f"intro {i} {passage} end {i}".encode() for i in range(20)])
     assert e.encoded < e.reused / 3
@@ -339,7 +340,7 @@ def brute_lm(train, vocab=lm.VOCABULARY):
     return score
 
 
-@pytest.mark.parametrize("block", [4_000_000, 5])
+@pytest.mark.parametrize("block", [4_000_000, 4_000])
 def test_lm(spark, empty, block, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK", block)
     rows = [(i, f"the {a} ship sailed to the {b} port with {a} {b} cargo of tin{i % 7}") for i, (a, b) in enumerate([("old", "far"), ("new", "near"), ("old", "near")] * 20)] + [r for r in ROWS if r[0] is not None]
@@ -350,7 +351,7 @@ def test_lm(spark, empty, block, monkeypatch):
         n, known, total, base, out = score(dict(rows)[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert r.score == pytest.approx(out, rel=0.02, abs=0.1)  # one-byte probabilities
+        assert r.score == pytest.approx(out, abs=0.014 * n)  # half a step of one-byte probabilities
     assert lm.score(df.where("1 = 0")).count() == 0
     assert lm.score(df.where("held_out").select("doc_id", "text", "held_out")).where("n_known > 0").count() == 0
 
