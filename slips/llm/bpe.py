@@ -31,7 +31,7 @@ from .texts import mix, slices, text_buffer
 #: Bytes that the rolling hash sees, mean and least bytes between cuts, and the most.
 SPAN, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Entries kept of each cache; the older half goes when it is full.
-WORDS_KEPT, CHUNKS_KEPT = 300_000, 12_000
+WORDS_KEPT, CHUNKS_KEPT = 120_000, 3_000
 #: Words at each end of a chunk that its join encodes again: the outer one must agree.
 EDGE = 2
 
