@@ -1,13 +1,18 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Words are counted over all training texts. The most frequent form the model's vocabulary; all others are
-one class whose members have their smoothed share of it. Bigrams and trigrams of classes, counted over
-the whole corpus and kept if they occur twice, carry absolutely discounted probabilities and interpolate
-down to the unigrams. They are stored as trie levels of monotone pointers and context-relative ids in
-Elias-Fano form with one-byte probabilities, read in place and queried by successor search.
+The vocabulary is every word of the training texts, and every bigram and trigram of them is kept, however rare:
+what the model holds grows with the corpus. N-grams carry absolutely discounted probabilities and interpolate
+down to the unigrams; words that training never saw share the mass of one unseen word.
 
-The bigram level is bounded by the square of the vocabulary. The trigram level grows with the corpus: it is
-built in blocks of contexts, each by one task, and scoring broadcasts one block of bounded size at a time.
+Texts are gathered into chunks that carry their own dictionary. A chunk sends its distinct trigrams, with their
+training counts, to blocks chosen by the trigram's context (its first two words). A block sums the counts of its
+contexts, packs them as trie levels of monotone pointers and context-relative ids in Elias-Fano form with one-byte
+probabilities, and answers each chunk's trigrams by successor search. How often a bigram occurs is the total of the
+context that it is, so the same answers give the lower order. Words are dealt to blocks of their own, which answer
+with each word's count and how many different words follow it. Blocks and chunks are of bounded size in expectation
+(a text is never cut, a context never split), and nothing but totals passes through the driver.
+
+Words are known by 62-bit hashes: among 10^8 different words two are taken for one with probability about 1/900.
 
 Null texts count as empty: one end token. A null id counts as the empty text in the fold rule. Repeated
 rows count as often as they occur and score alike. Without training rows every word is unknown. Further
@@ -16,301 +21,322 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
-from math import log10
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, read_table, stash
 from .elias_fano import LEVELS, Level, quantise
+from .texts import mix
 
-#: Words of the model's vocabulary; words whose counts are handed to every task; discount; least count kept.
-VOCABULARY, FREQUENT, DISCOUNT, LEAST = 4094, 65_536, 0.75, 2
-#: Trigrams of a block in expectation, at about three bytes each once packed.
-BLOCK = 4_000_000
-START, END, UNKNOWN, FIRST = 0, 1, 2, 3
-#: Bits of a class id.
-BITS = 13
-#: Entries that a task gathers before it hands counts on.
-GATHER = 1_000_000
+#: Words of the model's vocabulary (None: all of training); discount; least count of an n-gram that is kept (1: all).
+VOCABULARY, DISCOUNT, LEAST = None, 0.75, 1
+#: Trigrams that a block is sent, in expectation.
+BLOCK = 1_000_000
+#: Tokens of a chunk; the text that reaches it is taken whole.
+CHUNK = 400_000
+#: Ids of the start, the end and what follows it; the same in every dictionary.
+START, END, AFTER, FIRST = 0, 1, 2, 3
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word and count over the texts; gathered in each task, then summed by a shuffle."""
+def word_id(word: bytes) -> int:
+    return (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 2) + FIRST
+
+
+class Places(dict):
+    """Each new word gets the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+CODED = "chunk long, doc_id array<{0}>, held_out array<boolean>, sizes binary, words binary, ids binary, n long, ends long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-        counts: Counter = Counter()
+def coded(docs: DataFrame, kind: str) -> DataFrame:
+    """Chunks of texts: rows' ids and folds, tokens of each, the dictionary (sorted word ids) and places in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth = TaskContext.get().partitionId(), 0
+
+        def out() -> pa.RecordBatch:
+            hashes = np.fromiter(map(word_id, places), np.int64, len(places))
+            words = np.unique(np.concatenate((np.arange(FIRST), hashes)))
+            ids = np.searchsorted(words, hashes).astype(np.int32)[np.concatenate(held)] if places else np.zeros(0, np.int32)
+            sizes = np.array([len(x) for x in held], np.int64)
+            own = pa.concat_arrays(doc_ids)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own, pa.concat_arrays(folds))]
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (sizes, words, ids)]
+            ends = len(own) - sum(x.true_count for x in folds)
+            longs = [pa.array([x], pa.int64()) for x in (len(ids) + 2 * len(sizes), ends)]
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | nth], pa.int64()), *lists, *blobs, *longs], names=names)
+
+        names = ["chunk", "doc_id", "held_out", "sizes", "words", "ids", "n", "ends"]
+        places, held, doc_ids, folds, size = Places(), [], [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > GATHER // 4:
-                    yield out(counts)
-                    counts = Counter()
-        yield out(counts)
+            first = 0
+            for row, text in enumerate(batch.column(2)):
+                own = tokens(text.as_py())
+                held.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
+                size += len(own) + 2
+                if size >= CHUNK or row + 1 == len(batch):
+                    doc_ids.append(batch.column(0).slice(first, row + 1 - first))
+                    folds.append(batch.column(1).slice(first, row + 1 - first))
+                    first = row + 1
+                if size >= CHUNK:
+                    yield out()
+                    nth += 1
+                    places, held, doc_ids, folds, size = Places(), [], [], [], 0
+        if held:
+            yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, CODED.format(kind))
 
 
-@dataclass
-class Vocabulary:
-    """Counts of frequent words and totals; what every task needs to know of the words."""
+def block_of(first: np.ndarray, second: np.ndarray, blocks: int) -> np.ndarray:
+    h = mix(first.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    return (mix(h) % np.uint64(blocks)).astype(np.int64)
 
-    counts: dict[bytes, int]
-    classes: dict[bytes, int]
-    floor: int
-    total: int
-    distinct: int
-    ends: int
 
-    @property
-    def in_classes(self) -> int:
-        return sum(self.counts[w] for w in self.classes)
+def distinct(u: np.ndarray, v: np.ndarray, w: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples of ids below ``size``, sorted, and where each given triple is among them."""
+    pair, place = np.unique(u * size + v, return_inverse=True)
+    key, back = np.unique(place * size + w, return_inverse=True)
+    pair = pair[key // size]
+    return pair // size, pair % size, key % size, back
 
-    def base(self, c: float) -> float:
-        return log10(c + 0.5) - log10(self.total + 0.5 * (self.distinct + 1))
 
-    def unigrams(self) -> np.ndarray:
-        """Probability of each class; the start is never predicted."""
-        out = np.zeros(FIRST + len(self.classes))
-        out[END], out[UNKNOWN] = self.ends, self.total - self.ends - self.in_classes
-        for w, k in self.classes.items():
-            out[k] = self.counts[w]
-        out += 0.5
-        out[START] = 0
-        return out / out.sum()
+class Chunk:
+    """A row of ``coded``, and its trigrams: those of a text are its tokens, its end, and what follows the end."""
 
-    def of_unknown(self) -> float:
-        """log10 of the denominator of a word's share of the unknown class."""
-        rest = self.total - self.ends - self.in_classes
-        return log10(rest + 0.5 * (self.distinct - bool(self.ends) - len(self.classes) + 1))
+    def __init__(self, row: dict, blocks: int):
+        self.sizes, self.words = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["words"], np.int64)
+        self.ids = np.frombuffer(row["ids"], np.int32)
+        n = len(self.sizes)
+        self.at = np.concatenate(([0], np.cumsum(self.sizes + 2)))  # trigrams before each text
+        s = np.full(len(self.ids) + 4 * n, START, np.int64)
+        s[np.arange(len(self.ids)) + np.repeat(4 * np.arange(n) + 2, self.sizes)] = self.ids
+        stop = self.at[1:] + 2 * np.arange(1, n + 1)
+        s[stop - 2], s[stop - 1] = END, AFTER
+        where = np.arange(self.at[-1]) + np.repeat(2 * np.arange(n), self.sizes + 2)
+        self.u, self.v, self.w = s[where], s[where + 1], s[where + 2]
+        self.training = np.repeat(~np.array(row["held_out"], bool), self.sizes + 2)
+        self.keys = ku, kv, _, self.back = distinct(self.u, self.v, self.w, len(self.words))
+        block = block_of(self.words[ku], self.words[kv], blocks)
+        self.order = np.argsort(block, kind="stable")
+        self.cuts = np.searchsorted(block[self.order], np.arange(blocks + 1))
 
+    def word_blocks(self, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        return by_block(self.words, blocks)
 
-def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    """Words above the least count that leaves at most ``FREQUENT`` of them, found from the counts of counts."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    running = F.sum("words").over(Window.orderBy(F.desc("c")))
-    spread = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words"))  # as many rows as counts differ
-    floor = spread.withColumn("upto", running).where(F.col("upto") <= FREQUENT).agg(F.min("c")).first()[0]
-    rows = [] if floor is None else counts.where(F.col("c") >= floor).collect()
-    ordered = sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda r: (-r[1], r[0]))
-    classes = {w: FIRST + k for k, (w, _) in enumerate(ordered[:VOCABULARY])}
-    return Vocabulary(dict(ordered), classes, floor if floor is not None else 1 << 62, total + ends, distinct + bool(ends), ends)
 
+def by_block(words: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings words together by block, and where each block begins in it."""
+    block = block_of(words, words, blocks)
+    order = np.argsort(block, kind="stable")
+    return order, np.searchsorted(block[order], np.arange(blocks + 1))
 
-SPLIT = "rid long, doc_id {0}, held_out boolean, n_tokens long, known long, base double, inner double, unknown long, ids binary, rare array<binary>, times array<int>"
 
+#: What goes between chunks and blocks: packed columns of one chunk's or block's entries.
+PARCEL = "dest long, source long, words binary, places binary, n binary"
+NAMES = ["dest", "source", "words", "places", "n"]
 
-def split(docs: DataFrame, words, kind: str) -> DataFrame:
-    """What one pass over the texts gives: class ids, sums over frequent words, and the rare words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = words.value
-        logs = {w: log10(c + 0.5) for w, c in v.counts.items()}
-        end = log10(v.ends + 0.5)
-        for whole in batches:
-            for batch in (whole.slice(k, 500) for k in range(0, len(whole), 500)):
-                rows = []
-                for text in batch.column(3).to_pylist():
-                    own = tokens(text)
-                    ids = np.fromiter(map(v.classes.get, own, [UNKNOWN] * len(own)), np.uint16, len(own))
-                    base, inner, known, rare = end, 0.0, 1 if v.ends else 0, {}
-                    for w, k in Counter(own).items():
-                        if w in logs:
-                            base += k * logs[w]
-                            known += k
-                            if w not in v.classes:
-                                inner += k * logs[w]
-                        else:
-                            rare[w] = k
-                    unknown = int((ids == UNKNOWN).sum())
-                    rows.append((len(own) + 1, known, base, inner, unknown, ids.tobytes(), list(rare), list(rare.values())))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-                names = ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "unknown", "ids", "rare", "times"]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    return rows.mapInArrow(run, SPLIT.format(kind))
-
-
-def contexts(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens of texts, with their ends: the class before the last, the last, and the token's own."""
-    parts = []
-    for b in ids:
-        parts += [np.array([START, START], np.uint16), np.frombuffer(b, np.uint16), np.array([END], np.uint16)]
-    s = np.concatenate(parts).astype(np.int64)
-    own = np.ones(len(s), bool)
-    at = np.cumsum([0, *(len(b) // 2 + 3 for b in ids[:-1])])
-    own[at] = own[at + 1] = False
-    where = np.flatnonzero(own)
-    return s[where - 2], s[where - 1], s[where]
-
-
-def ngram_counts(seen: DataFrame) -> DataFrame:
-    """context (last << BITS | before it, or last alone with ``order`` 2), word and n; dealt by context."""
+def parcels(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list) -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            order = np.where(key >> (3 * BITS), 2, 3).astype(np.int32)
-            bare = key & ((1 << 3 * BITS) - 1)
-            return pa.RecordBatch.from_arrays([pa.array(order), pa.array(bare >> BITS), pa.array((bare & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n)], names=["order", "context", "word", "n"])
 
-        held, size = [], 0
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                u, v, w = contexts([bytes(x) for x in batch.column(0).slice(k, 500).to_pylist()])
-                held += [v << 2 * BITS | u << BITS | w, 1 << 3 * BITS | v << BITS | w]
-                size += 2 * len(w)
-                if size > 3 * GATHER:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
+def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
 
-    found = seen.where("not held_out").select("ids").mapInArrow(run, "order int, context long, word int, n long")
-    return found.repartition("order", "context").groupBy("order", "context", "word").agg(F.sum("n").alias("n"))
 
+def trigram_parcels(seen: DataFrame, blocks: int) -> DataFrame:
+    """Each chunk's distinct trigrams by block, with how often its training texts have them."""
 
-def discounted(counts: DataFrame) -> DataFrame:
-    """Kept n-grams with their discounted probability and the total of their context."""
-    whole = F.sum("n").over(Window.partitionBy("order", "context"))
-    kept = counts.withColumn("whole", whole).where(F.col("n") >= LEAST)
-    return kept.select("order", "context", "word", ((F.col("n") - DISCOUNT) / F.col("whole")).alias("p"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in chunk_rows(batches):
+            c = Chunk(row, blocks)
+            n = np.bincount(c.back, c.training, len(c.order)).astype(np.int32)
+            rows = []
+            for b in np.flatnonzero(np.diff(c.cuts)).tolist():
+                own = c.order[c.cuts[b] : c.cuts[b + 1]]
+                used, places = np.unique(np.concatenate([x[own] for x in c.keys[:3]]), return_inverse=True)
+                places = places.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                rows.append((b, row["chunk"], c.words[used].tobytes(), places.tobytes(), n[own].tobytes()))
+            yield parcels(rows)
 
+    return seen.select("chunk", "held_out", "sizes", "words", "ids").mapInArrow(run, PARCEL)
 
-def pack_level(context: np.ndarray, word: np.ndarray, p: np.ndarray, known: np.ndarray) -> bytes:
-    """A level whose contexts are ``known`` (sorted), with what each leaves to lower orders."""
-    parent = np.searchsorted(known, context)
-    left = np.maximum(1 - np.bincount(parent, p, len(known)), 1e-7)
-    level = Level.build(len(known), parent, word, p).dump()
-    rest = quantise(left).tobytes()
-    return level + rest
 
+class Trie:
+    """Trigrams under their contexts: first word, second word, then the words that follow."""
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block of n-grams of one order as bytes: contexts as a level of their own, then the words under them."""
-    for (order, block), rows in batches:
-        order_ = np.lexsort((rows["word"], rows["context"]))
-        context, word, p = (rows[c][order_] for c in ("context", "word", "p"))
-        known = np.unique(context)
-        upper, lower = known >> BITS, known & ((1 << BITS) - 1)
-        top = Level.build(1 << BITS, upper, lower, np.ones(len(known))).dump()
-        yield order, block, len(top).to_bytes(8, "little") + top + pack_level(context, word, p, known)
+    def __init__(self, size: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray):
+        """Of distinct sorted trigrams of ids below ``size`` and their counts."""
+        context, first, parent = np.unique(u * size + v, return_index=True, return_inverse=True)
+        self.upper, self.lower = u[first], v[first]
+        self.whole = np.bincount(parent, n, len(context)).astype(np.int64)
+        p = (n - DISCOUNT) / self.whole[parent]
+        self.left = quantise(np.maximum(1 - np.bincount(parent, p, len(context)), 1e-7))
+        self.top = Level.build(size, self.upper, self.lower, np.ones(len(context)))
+        self.words = Level.build(len(context), parent, w, p)
 
+    def find(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether a trigram is there, its level, the level of what its context leaves (0: all) and the context's total."""
+        none = np.zeros(len(u), np.uint8)
+        if not len(self.whole):
+            return np.zeros(len(u), bool), none, none, np.zeros(len(u), np.int64)
+        at, known = self.top.find(u, v)
+        spot, found = self.words.find(np.where(known, at, -1), w)
+        return found, np.where(found, self.words.values[spot], none), np.where(known, self.left[at], none), np.where(known, self.whole[at], 0)
 
-def tries(kept: DataFrame) -> DataFrame:
-    """order, block and the packed trie; trigram contexts are dealt to blocks by hash."""
-    n = kept.where("order = 3").count()
-    blocks = max(1, -(-n // BLOCK))
-    placed = kept.withColumn("block", F.when(F.col("order") == 3, F.pmod(F.xxhash64("context"), F.lit(blocks))).otherwise(0).cast("int"))
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = {c: table[c].to_numpy() for c in ("context", "word", "p")}
-        key = (table["order"][0].as_py(), table["block"][0].as_py())
-        [(order, block, data)] = pack([(key, rows)])
-        return pa.table({"order": pa.array([order], pa.int32()), "block": pa.array([block], pa.int32()), "data": pa.array([data], pa.binary())})
+ANSWER = np.dtype([("found", "?"), ("p", "u1"), ("left", "u1"), ("whole", "<i8")])
 
-    return placed.groupBy("order", "block").applyInArrow(run, "order int, block int, data binary")
 
+def answer_trigrams(sent: DataFrame, word_blocks: int) -> DataFrame:
+    """Answers to chunks (places holds ANSWER columns), and followers of words to word blocks (dest below 0)."""
 
-class Trie:
-    """A packed block, read in place."""
-
-    def __init__(self, data: bytes | None):
-        self.data = data
-        if data:
-            view = memoryview(data)
-            size = int.from_bytes(data[:8], "little")
-            self.top, _ = Level.load(view, 8)
-            self.words, end = Level.load(view, 8 + size)
-            self.left = np.frombuffer(view, np.uint8, len(self.top.values), end)
-
-    def find(self, upper: np.ndarray, lower: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probability (0 if not kept) and what the context leaves to lower orders (1 if unknown)."""
-        if not self.data:
-            return np.zeros(len(word)), np.ones(len(word))
-        at, known = self.top.find(upper, lower)
-        spot, found = self.words.find(np.where(known, at, -1), word)
-        p = np.where(found, LEVELS[self.words.values[spot]], 0.0) if self.words.ids.n else np.zeros(len(word))
-        return p, np.where(known, LEVELS[self.left[at]], 1.0)
-
-
-def score_block(seen: DataFrame, bigrams: bytes | None, trigrams: bytes | None, unigrams: np.ndarray, first: bool) -> DataFrame:
-    """rid and the log10 probabilities of the tokens whose trigram context is in this block.
-
-    The first block also scores the tokens whose context is in none: it starts from all tokens by lower
-    orders, and every block adds the change its own contexts make.
-    """
-    shared = seen.sparkSession.sparkContext.broadcast((bigrams, trigrams, unigrams))
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        block = rows[0]["dest"]
+        own = [np.frombuffer(r["words"], np.int64) for r in rows]
+        words = np.unique(np.concatenate(own))
+        counts = [np.frombuffer(r["n"], np.int32) for r in rows]
+        triples = []
+        for r, x, n in zip(rows, own, counts, strict=True):
+            places = np.frombuffer(r["places"], np.uint16 if len(r["places"]) == 6 * len(n) else np.uint32)
+            triples.append(np.searchsorted(words, x)[places].reshape(3, -1))
+        u, v, w, back = distinct(*np.concatenate(triples, axis=1), len(words))
+        n = np.bincount(back, np.concatenate(counts), len(u))
+        kept = n >= LEAST
+        trie = Trie(len(words), u[kept], v[kept], w[kept], n[kept])
+        found = trie.find(u, v, w)
+        out, low = [], 0
+        for r, n in zip(rows, counts, strict=True):
+            at = back[low : low + len(n)]
+            low += len(n)
+            out.append((r["source"], block, None, b"".join(x[at].tobytes() for x in found), None))
+        # Each context but (start, start) is a bigram of training.
+        bigram = (words[trie.upper] != START) | (words[trie.lower] != START)
+        firsts, follow = np.unique(trie.upper[bigram], return_counts=True)
+        order, cuts = by_block(words[firsts], word_blocks)
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[b] : cuts[b + 1]]
+            out.append((-1 - b, -1, words[firsts[at]].tobytes(), None, follow[at].astype(np.int64).tobytes()))
+        return pa.Table.from_batches([parcels(out)])
+
+    return sent.groupBy("dest").applyInArrow(run, PARCEL)
+
+
+def word_parcels(seen: DataFrame, word_blocks: int) -> DataFrame:
+    """Each chunk's words by word block, with how often its training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three, p1 = Trie(shared.value[0]), Trie(shared.value[1]), shared.value[2]
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                ids = [bytes(x) for x in batch.column(1).slice(k, 500).to_pylist()]
-                u, v, w = contexts(ids)
-                key, back = np.unique(v << 2 * BITS | u << BITS | w, return_inverse=True)
-                word, before, last = key & ((1 << BITS) - 1), key >> BITS & ((1 << BITS) - 1), key >> 2 * BITS
-                q2, left2 = two.find(np.zeros(len(key), np.int64), last, word)
-                lower = q2 + left2 * p1[word]
-                q3, left3 = three.find(last, before, word)
-                change = np.log10(q3 + left3 * lower) - np.log10(lower) + (np.log10(lower) if first else 0.0)
-                sizes = np.array([len(b) // 2 + 1 for b in ids])
-                sums = np.add.reduceat(change[back], np.cumsum(sizes) - sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(ids)), pa.array(sums)], names=["rid", "lm"])
-
-    return seen.select("rid", "ids").mapInArrow(run, "rid long, lm double")
+        for row in chunk_rows(batches):
+            words, sizes = np.frombuffer(row["words"], np.int64), np.frombuffer(row["sizes"], np.int64)
+            training = np.repeat(~np.array(row["held_out"], bool), sizes)
+            n = np.bincount(np.frombuffer(row["ids"], np.int32), training, len(words)).astype(np.int64)
+            order, cuts = by_block(words, word_blocks)
+            at = [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+            yield parcels([(-1 - b, row["chunk"], words[own].tobytes(), None, n[own].tobytes()) for b, own in at])
+
+    return seen.select("chunk", "held_out", "sizes", "words", "ids").mapInArrow(run, PARCEL)
+
+
+def answer_words(sent: DataFrame) -> DataFrame:
+    """Answers to chunks: counts of words and how many words follow each; source -1: tokens and words of the block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        block = rows[0]["dest"]
+        own = [np.frombuffer(r["words"], np.int64) for r in rows]
+        words, back = np.unique(np.concatenate(own), return_inverse=True)
+        n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
+        from_chunk = np.repeat([r["source"] >= 0 for r in rows], [len(x) for x in own])
+        # Sums of integers: exact as long as a word occurs less than 2^53 times.
+        c, follow = (np.bincount(back, np.where(mine, n, 0), len(words)).astype(np.int64) for mine in (from_chunk, ~from_chunk))
+        out, low = [(-1, block, None, None, np.array([c.sum(), (c > 0).sum()], np.int64).tobytes())], 0
+        for r, x in zip(rows, own, strict=True):
+            at = back[low : low + len(x)]
+            low += len(x)
+            if r["source"] >= 0:
+                out.append((r["source"], block, None, None, c[at].tobytes() + follow[at].tobytes()))
+        return pa.Table.from_batches([parcels(out)])
+
+    return sent.groupBy("dest").applyInArrow(run, PARCEL)
+
+
+SCORED = "doc_id {0}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def assembled(seen: DataFrame, answers: DataFrame, blocks: int, word_blocks: int, total: int, kinds: int, ends: int, kind: str) -> DataFrame:
+    """Scores of each chunk's texts from the answers to its trigrams and words."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        c = Chunk(row, blocks)
+        found, p, rest = np.zeros(len(c.order), bool), np.zeros(len(c.order), np.uint8), np.zeros(len(c.order), np.uint8)
+        whole, count, follow = np.zeros(len(c.order), np.int64), np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
+        order, cuts = c.word_blocks(word_blocks)
+        for r in right.to_pylist():
+            b = r["source"]
+            if b >= 0:
+                at, low = c.order[c.cuts[b] : c.cuts[b + 1]], 0
+                for (name, _), to in zip(ANSWER.fields.items(), (found, p, rest, whole), strict=True):
+                    to[at] = np.frombuffer(r["places"], ANSWER[name], len(at), low)
+                    low += len(at) * ANSWER[name].itemsize
+            else:
+                at = order[cuts[-1 - b] : cuts[-b]]
+                count[at], follow[at] = np.frombuffer(r["n"], np.int64).reshape(2, -1)
+        count[START] = count[END] = ends
+        logs = np.log10(count + 0.5)
+        p1 = (count + 0.5) / (total + 0.5 * (kinds + 2))  # the unseen word and the end are two more
+        # A bigram's count is the total of the context that the next trigram has.
+        own = np.ones(len(c.u), bool)
+        own[c.at[1:] - 1] = False
+        own = np.flatnonzero(own)
+        v, w, pair = c.v[own], c.w[own], whole[c.back[own + 1]]
+        lower = np.where(count[v] > 0, (np.maximum(pair - DISCOUNT, 0) + DISCOUNT * follow[v] * p1[w]) / np.maximum(count[v], 1), p1[w])
+        at = c.back[own]
+        lm = np.log10(np.where(found[at], LEVELS[p[at]], 0.0) + LEVELS[rest[at]] * lower)
+        begin = np.concatenate(([0], np.cumsum(c.sizes + 1)[:-1]))
+        sums = lambda x: np.add.reduceat(x, begin)
+        n = c.sizes + 1
+        base = sums(logs[w]) - n * np.log10(total + 0.5 * (kinds + (ends > 0) + 1))
+        columns = [left["doc_id"].combine_chunks().flatten(), left["held_out"].combine_chunks().flatten(), pa.array(n), pa.array(sums((count[w] > 0).astype(np.int64)))]
+        return pa.Table.from_arrays([*columns, pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(sums(lm))], names=names)
+
+    names = [x.split()[0] for x in SCORED.split(", ")]
+    return seen.groupBy("chunk").cogroup(answers.groupBy("dest")).applyInArrow(run, SCORED.format(kind))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """docs has doc_id, text and held_out; one row per input row with the token counts and both scores."""
-    spark = docs.sparkSession
-    training = docs.where(~F.col("held_out"))
-    counts = stash(word_counts(training), "lm-words")
-    words = vocabulary(counts, training.select("doc_id").count())
-    shared = spark.sparkContext.broadcast(words)
-    seen = stash(split(docs, shared, docs.schema["doc_id"].dataType.simpleString()), "lm-split")
-
-    # Rare words find their counts by a join; frequent words are in no row of it, so no key is hot.
-    rare = seen.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
-    found = rare.join(counts.where(F.col("c") < words.floor), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = found.groupBy("rid").agg(F.sum(F.col("k") * F.log10(c + 0.5)).alias("r"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rk"))
-
-    packed = stash(tries(stash(discounted(ngram_counts(seen)), "lm-ngrams")), "lm-tries")
-    at = {(r["order"], r["block"]) for r in packed.select("order", "block").collect()}
-    fetch = lambda o, b: bytes(packed.where(f"order = {o} and block = {b}").first()["data"]) if (o, b) in at else None
-    two, unigrams = fetch(2, 0), words.unigrams()
-    blocks = sorted(b for o, b in at if o == 3) or [0]
-    passes = [score_block(seen, two, fetch(3, b), unigrams, k == 0) for k, b in enumerate(blocks)]
-    lm = reduce(DataFrame.unionByName, passes).groupBy("rid").agg(F.sum("lm").alias("lm"))
-
-    n, total = F.col("n_tokens"), log10(words.total + 0.5 * (words.distinct + 1))
-    r, rk = F.coalesce("r", F.lit(0.0)), F.coalesce("rk", F.lit(0))
-    narrow = seen.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "unknown")
-    return narrow.join(lm, "rid").join(sums, "rid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + rk).cast("long").alias("n_known"),
-        F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") + r - n * F.lit(total)).alias("base_score"),
-        (F.col("lm") + F.col("inner") + r - F.col("unknown") * F.lit(words.of_unknown())).alias("score"),
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    seen = stash(coded(docs, kind), "lm-coded")
+    n, ends = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK))
+    word_blocks = max(1, blocks // 4)
+    found = stash(answer_trigrams(trigram_parcels(seen, blocks), word_blocks), "lm-trigrams")
+    of_words = stash(answer_words(word_parcels(seen, word_blocks).unionByName(found.where("dest < 0"))), "lm-words")
+    sums = [np.frombuffer(r["n"], np.int64) for r in of_words.where("dest < 0").select("n").toLocalIterator()]
+    total, kinds = (int(sum(x[k] for x in sums)) for k in (0, 1))
+    answers = found.unionByName(of_words).where("dest >= 0").select("dest", "source", "places", "n")
+    return assembled(seen, answers, blocks, word_blocks, total + ends, kinds, ends, kind)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,6 +356,23 @@ def test_lm(spark, empty, block, monkeypatch):
     assert lm.score(df.where("held_out").select("doc_id", "text", "held_out")).where("n_known > 0").count() == 0
 
 
+def test_lm_knows_every_training_word(spark, monkeypatch):
+    """Rare words and n-grams that occur once have statistics of their own, whatever chunk and block they are in."""
+    monkeypatch.setattr(lm, "BLOCK", 3_000)
+    monkeypatch.setattr(lm, "CHUNK", 2_000)
+    rows = [(i, " ".join(f"w{(i * 40 + k) % 5600}" for k in range(45))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] if i % 2 else " ".join(reversed(rows[i][1].split()))) for i in range(20)] + [(2000, "the " * 900), (2001, "never seen"), (2002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("held_out", F.col("doc_id") >= 1000)
+    brute = brute_lm([t for i, t in rows if i < 1000], None)
+    got = {r.doc_id: r for r in lm.score(df).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        n, known, total, base, out = brute(t)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total)
+        assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score == pytest.approx(out, abs=0.014 * n)
+    assert all(got[1000 + i].score / got[1000 + i].n_tokens > got[1000 + i - 1].score / got[1000 + i - 1].n_tokens + 1 for i in range(1, 20, 2))
+
+
 # --- Quality ------------------------------------------------------------------------------------------
 
 
