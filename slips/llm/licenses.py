@@ -2,7 +2,7 @@
 
 Texts are folded to words (A-Z lower-cased, everything but letters, digits and non-ASCII separates).
 Rules are word regexes, generated from families of license names and the phrasings around them. A rule
-is tried only where its keyword occurs. Detections are resolved by priority: one whose interval lies
+is tried only where a part that each of its matches has occurs. Detections are resolved by priority: one whose interval lies
 within the interval of a detection of the same or higher rank is suppressed.
 
 Null and empty texts have no words and no labels; ids and further columns pass through untouched, so
@@ -32,12 +32,13 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# (label, keyword, name as a word regex, rank). More specific names rank higher (lower number).
+# (label, keywords, name as a word regex, rank). Every match of the name has one of the keywords (parted by |), blanks
+# included: a name stands between blanks, but may run on within a word (gplv3). More specific names rank higher (lower number).
 FAMILIES = (
-    ("mit", "mit", r"mit", 3),
-    ("mit-0", "mit", r"mit (?:no attribution|0)", 2),
+    ("mit", " mit ", r"mit", 3),
+    ("mit-0", " mit ", r"mit (?:no attribution|0)", 2),
     ("x11", "x11", r"x11", 3),
-    ("isc", "isc", r"isc", 3),
+    ("isc", " isc ", r"isc", 3),
     ("apache-1.1", "apache", r"apache (?:software )?(?:license )?(?:version )?1 1", 2),
     ("apache-2", "apache", r"apache (?:software )?(?:license )?(?:version |v )?2(?: 0)?", 2),
     ("apache", "apache", r"apache(?: software)?", 4),
@@ -53,9 +54,9 @@ FAMILIES = (
     ("lgpl", "lesser", r"(?:gnu )?lesser general public", 2),
     ("lgpl-2", "library", r"(?:gnu )?library general public(?: license)? (?:version |v )?2(?: 0)?", 1),
     ("lgpl", "lgpl", r"lgpl(?: v?[0-9](?: [0-9])?)?", 3),
-    ("gpl-2", "general", r"(?:gnu )?general public(?: license)? (?:version |v )?2(?: 0)?", 2),
-    ("gpl-3", "general", r"(?:gnu )?general public(?: license)? (?:version |v )?3(?: 0)?", 2),
-    ("gpl", "general", r"gnu general public", 4),
+    ("gpl-2", "general public", r"(?:gnu )?general public(?: license)? (?:version |v )?2(?: 0)?", 2),
+    ("gpl-3", "general public", r"(?:gnu )?general public(?: license)? (?:version |v )?3(?: 0)?", 2),
+    ("gpl", "general public", r"gnu general public", 4),
     ("gpl-2", "gpl", r"gpl ?v? ?2(?: 0)?", 3),
     ("gpl-3", "gpl", r"gpl ?v? ?3(?: 0)?", 3),
     ("gpl", "gpl", r"(?:gnu )?gpl", 4),
@@ -69,27 +70,27 @@ FAMILIES = (
     ("eupl", "european", r"european union public", 2),
     ("cddl", "cddl", r"cddl(?: 1 [01])?", 3),
     ("cddl", "distribution", r"common development and distribution", 2),
-    ("cpl", "common", r"common public", 3),
-    ("osl", "open", r"open software", 4),
+    ("cpl", "common public", r"common public", 3),
+    ("osl", "open software", r"open software", 4),
     ("afl", "academic", r"academic free", 3),
     ("artistic", "artistic", r"artistic(?: license)?(?: (?:version )?[12] 0)?", 3),
     ("zlib", "zlib", r"zlib(?: libpng)?", 3),
     ("boost", "boost", r"boost software", 3),
     ("postgresql", "postgresql", r"postgresql", 4),
-    ("python", "python", r"(?:python software foundation|psf)", 3),
-    ("php", "php", r"php", 4),
-    ("ruby", "ruby", r"ruby", 4),
-    ("ofl", "font", r"(?:sil )?open font", 3),
+    ("python", "python|psf", r"(?:python software foundation|psf)", 3),
+    ("php", " php ", r"php", 4),
+    ("ruby", " ruby ", r"ruby", 4),
+    ("ofl", "open font", r"(?:sil )?open font", 3),
     ("wtfpl", "wtfpl", r"wtfpl", 3),
     ("unlicense", "unlicense", r"unlicense", 3),
-    ("public-domain", "domain", r"public domain", 4),
+    ("public-domain", "public domain", r"public domain", 4),
     ("cc0", "cc0", r"cc0(?: 1 0)?", 3),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1-4] [05])?", 1),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1-4] [05])?", 1),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1-4] [05])?", 2),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1-4] [05])?", 2),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1-4] [05])?", 2),
-    ("cc-by", "cc", r"cc by(?: [1-4] [05])?", 4),
+    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] [05])?", 1),
+    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] [05])?", 1),
+    ("cc-by-nc", "cc by", r"cc by nc(?: [1-4] [05])?", 2),
+    ("cc-by-nd", "cc by", r"cc by nd(?: [1-4] [05])?", 2),
+    ("cc-by-sa", "cc by", r"cc by sa(?: [1-4] [05])?", 2),
+    ("cc-by", "cc by", r"cc by(?: [1-4] [05])?", 4),
     ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv[a-z]{0,12}", 1),
     ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike", 1),
     ("cc-by-nc", "creative", r"creative commons attribution non ?commercial", 2),
@@ -110,13 +111,13 @@ PHRASINGS = (
 )
 
 #: Names that mean a license even without a phrasing around them.
-TELLING = {"affero", "agpl", "lesser", "lgpl", "gpl", "mozilla", "eclipse", "european", "cddl", "distribution", "wtfpl", "unlicense", "cc0", "cc", "creative", "documentation"}
+TELLING = {"affero", "agpl", "lesser", "lgpl", "gpl", "mozilla", "eclipse", "european", "cddl", "distribution", "wtfpl", "unlicense", "cc0", "cc by", "creative", "documentation"}
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern
     rank: int
     confidence: float
@@ -131,31 +132,36 @@ def rules() -> tuple[Rule, ...]:
         if keyword in TELLING:
             forms.append((f"(?:{name})", 0.6))
         for form, confidence in forms:
-            found.append(Rule(label, keyword.encode(), re.compile(rf"(?<![^ ]){form}(?![^ ])".encode()), rank, confidence))
+            found.append(Rule(label, tuple(keyword.encode().split(b"|")), re.compile(rf"(?<![^ ]){form}(?![^ ])".encode()), rank, confidence))
     return tuple(sorted(found, key=lambda r: (r.rank, -r.confidence)))
 
 
-_BASE = tuple((re.compile(rf"(?<![^ ])(?={p}(?![^ ]))".encode()), label, len(p.split())) for p, label in BASE)
-_GATES = (b"licen", b"apache", b"cc by", b"gpl", b"affero", b"creative commons", b"public domain", b"cc0", b"mozilla", b"eclipse", b"lesser general", b"european union", b"cddl", b"common development", b"wtfpl", b"documentation")
+@cache
+def keywords() -> tuple[tuple[bytes, ...], ...]:
+    return tuple({r.keywords: None for r in rules()})
+
+
+_BASE = tuple((p.encode(), re.compile(rf"(?<![^ ])(?={p}(?![^ ]))".encode()), label, len(p.split())) for p, label in BASE)
 
 
-def detect(text: bytes) -> dict:
-    """Words, base places and resolved labels of one text."""
+def detect(text: bytes, gated: bool = True) -> dict:
+    """Words, base places and resolved labels of one text; without gates every rule is tried."""
     words = fold_words(text)
     out = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0}
     line = b" ".join(words)
-    if not any(g in line for g in _GATES) and b"mit license" not in line:
+    padded = b" " + line + b" "
+    present = {k for k in keywords() if not gated or any(part in padded for part in k)}
+    if not present:  # each base phrase has a keyword too
         return out
     starts = [0]
     for w in words:
         starts.append(starts[-1] + len(w) + 1)
     place = lambda x: bisect_right(starts, x) - 1
-    base = [(place(m.start()), n, label) for pattern, label, n in _BASE for m in pattern.finditer(line)]
+    base = [(place(m.start()), n, label) for phrase, pattern, label, n in _BASE if phrase in line for m in pattern.finditer(line)]
     kept = [(a, a + n, 0, 1.0, label) for a, n, label in base]
-    inside = set(words)
     found = []
     for r in rules():
-        if r.keyword in inside:
+        if r.keywords in present:
             for m in r.pattern.finditer(line):
                 found.append((r.rank, -(m.end() - m.start()), m.start(), m.end(), r.confidence, r.label))
     taken: list[tuple[int, int]] = []

@@ -175,6 +175,41 @@ def test_license_rules():
     assert label("she was permitted to submit a summit") == "" and label("the apache helicopter") == ""
 
 
+def _sample(r, parsed):
+    """A random text that a parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            kinds = [chr(x[1] if str(x[0]) == "LITERAL" else r.integers(x[1][0], x[1][1] + 1)) for x in arg]
+            out += str(r.choice(kinds))
+        elif kind == "BRANCH":
+            out += _sample(r, arg[1][r.integers(len(arg[1]))])
+        elif kind == "SUBPATTERN":
+            out += _sample(r, arg[3])
+        elif kind == "MAX_REPEAT":
+            out += "".join(_sample(r, arg[2]) for _ in range(r.integers(arg[0], arg[1] + 1)))
+        else:
+            assert kind == "ASSERT_NOT"
+    return out
+
+
+def test_license_gates_drop_nothing():
+    label = lambda t: licenses.detect(t.encode())["labels"]
+    assert label("Licensed under GPLv3") == label("released under GPL-3") == "gpl-3" and label("Licensed under the AGPLv3.") == "agpl-3"
+    assert label("released under the MIT") == "mit" and label("governed by the ISC") == "isc" and label("provided under the Boost Software") == "boost"
+    assert label("distributed under the terms of the BSD 3-Clause") == "bsd-3-clause" and label("licensed under FreeBSD") == "bsd-2-clause" and label("PSF License") == "python"
+    r = np.random.default_rng(4)
+    for rule in licenses.rules():
+        for _ in range(6):
+            text = _sample(r, re._parser.parse(rule.pattern.pattern.decode()))
+            assert rule.pattern.search(text.encode()), text
+            got = licenses.detect(f"so {text} it".encode())
+            assert got["labels"] and got == licenses.detect(f"so {text} it".encode(), gated=False)
+
+
 # --- BPE ----------------------------------------------------------------------------------------------
 
 
