@@ -2,8 +2,8 @@
 
 The most frequent letter n-grams (n = 1 to 3, words padded by blanks) of a text, in order of frequency,
 are compared with each language's profile: the distance is the sum over the text's n-grams of how far
-each is out of its place, or the most there can be if the profile lacks it. Profiles are fitted on a
-documented, bounded sample of labelled rows; scoring reads every whole text.
+each is out of its place, or the most there can be if the profile lacks it. Profiles are fitted on all
+labelled rows, whose n-grams are counted in each task; scoring reads every whole text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text when nothing was learned.
 Equal counts are ranked by n-gram, equal distances by language name. A null id counts as the empty text in
@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, read_table
 
-#: N-grams of a profile, longest n-gram, and labelled rows (in expectation) that profiles are fitted on.
-PROFILE, LONGEST, SAMPLE = 400, 3, 20_000
+#: N-grams of a profile and longest n-gram.
+PROFILE, LONGEST = 400, 3
+#: N-grams of texts that a task holds before it sums them up.
+GATHER = 1_000_000
 BLANK = 32
 
 
@@ -90,26 +92,37 @@ class Profiles:
         return best, 1.0 - least / (PROFILE * len(top))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict[str, list[int]]:
-    """Profiles of the languages in ``labelled``, from about ``sample`` rows chosen by hash.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[int]]:
+    """Profiles of the languages in ``labelled``, from all its rows.
 
     N-grams are counted in each partition and summed by a shuffle; only the profiles reach the driver.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = labelled.where(F.col(lang_col).isNotNull()).count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts: dict[str, list] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(lang, []).append(grams(text))
-            for lang, found in parts.items():
-                codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([k for _, k in found]), len(codes)).astype(np.int64)
+        def summed(found: list) -> tuple[np.ndarray, np.ndarray]:
+            codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            return codes, np.bincount(where, np.concatenate([k for _, k in found]), len(codes)).astype(np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (codes, counts) in ((lang, summed(found)) for lang, found in parts.items()):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
+        parts: dict[str, list] = {}
+        size = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = grams(text.as_py())
+                parts.setdefault(lang.as_py(), []).append(found)
+                size += len(found[0])
+                if size > GATHER:
+                    parts = {lang: [summed(found)] for lang, found in parts.items()}
+                    size = sum(len(codes) for [(codes, _)] in parts.values())
+                    if size > GATHER // 2:
+                        yield from out()
+                        parts, size = {}, 0
+        yield from out()
+
     counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)

@@ -305,6 +305,21 @@ def test_language(spark, docs, empty):
     assert language.predict(docs, {}, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+@pytest.mark.parametrize("gather", [1_000_000, 200])
+def test_language_learns_from_every_row(spark, gather, monkeypatch):
+    """However many rows there are, a rare language keeps its own and copies of one text weigh what they are."""
+    monkeypatch.setattr(language, "GATHER", gather)
+    often = spark.range(60_000 if gather > 200 else 300).select(F.concat(F.lit("the ship "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([("kissa", "fi"), ("hund", "de"), ("hund", "de"), ("katze", "de")], "text string, lang string")
+    by_lang = language.fit(often.unionByName(rare))
+    assert set(by_lang) == {"de", "en", "fi"}
+    for lang, texts in (("fi", ["kissa"]), ("de", ["hund", "hund", "katze"]), ("en", ["the ship"])):
+        counts = Counter()
+        for t in texts:
+            counts.update(dict(zip(*(x.tolist() for x in language.grams(t)), strict=True)))
+        assert by_lang[lang] == sorted(counts, key=lambda g: (-counts[g], g))[: language.PROFILE]
+
+
 def test_language_grams():
     codes, counts = language.grams("ab, b")
     text = lambda c: "".join(chr(x) for x in (c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF) if x)
