@@ -3,7 +3,7 @@
 A text's UTF-8 bytes are covered by overlapping chunks. Learned filters run over each chunk's embedded
 bytes, each filter's largest value is kept, and the chunks' maxima are averaged over the whole text
 and combined by a small dense layer into one probability. Training uses a documented, bounded sample of
-labelled texts and of chunks within them; scoring reads every byte of every text.
+labelled texts, and, like scoring, every byte of each.
 
 Null texts count as empty: one chunk of padding. Labels that are null are not learned from. Without both
 labels among the training rows every score is the share of label 1 (0.5 without any). A null id counts
@@ -27,8 +27,10 @@ from .texts import slices, text_buffer
 
 #: Bytes of a chunk and from one chunk to the next; width and stride of filters; filters; embedding; hidden.
 CHUNK, HOP, WIDTH, STRIDE, FILTERS, EMBED, HIDDEN = 256, 192, 8, 2, 24, 8, 16
-#: Labelled texts of each label (in expectation) and chunks of each text that training sees.
-SAMPLE, CHUNKS_SEEN = 2_000, 4
+#: Labelled texts of each label (in expectation) that training sees.
+SAMPLE = 2_000
+#: Chunks that the gradient unrolls at once.
+UNROLLED = 256
 STEPS, BATCH, RATE, SEED = 400, 32, 6e-3, 7
 
 
@@ -114,12 +116,17 @@ class Network:
                 v += 0.01 * (g * g - v)
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
 
+    def largest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's place of its largest value in each chunk, and that value."""
+        value = self.unrolled(rows) @ self.filters
+        at = value.argmax(axis=1)
+        return at, np.take_along_axis(value, at[:, None], axis=1)[:, 0]
+
     def gradient(self, rows: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-        unrolled = self.unrolled(rows)
-        value = unrolled @ self.filters
-        at = value.argmax(axis=1)
-        top = np.take_along_axis(value, at[:, None], axis=1)[:, 0] + self.offset
+        parts = [rows[low : low + UNROLLED] for low in range(0, len(rows), UNROLLED)]
+        at, top = (np.concatenate(x) for x in zip(*map(self.largest, parts), strict=True))
+        top += self.offset
         act = np.maximum(top, 0)
         mean = np.add.reduceat(act, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
         pre = mean @ self.hidden + self.hidden_bias
@@ -129,18 +136,22 @@ class Network:
         dh = np.outer(dz, self.out) * (pre > 0)
         dact = ((dh @ self.hidden.T) / sizes[:, None])[owner] * (top > 0)
         # Only the place of each filter's maximum has a gradient.
-        seen = unrolled[np.arange(len(rows))[:, None], at]
-        dfilters = np.einsum("nfk,nf->kf", seen, dact)
-        dseen = (dact[:, :, None] * self.filters.T[None]).reshape(-1, WIDTH, EMBED)
-        bytes_at = rows[np.arange(len(rows))[:, None, None], (at * STRIDE)[:, :, None] + np.arange(WIDTH)].reshape(-1)
-        dembed = np.stack([np.bincount(bytes_at, dseen[:, :, e].reshape(-1), 256) for e in range(EMBED)], axis=1)
+        dfilters, dembed = np.zeros_like(self.filters), np.zeros((256, EMBED))
+        for k, part in enumerate(parts):
+            own = slice(k * UNROLLED, k * UNROLLED + len(part))
+            bytes_at = part[np.arange(len(part))[:, None, None], (at[own] * STRIDE)[:, :, None] + np.arange(WIDTH)]
+            seen = self.embed[bytes_at].reshape(len(part), FILTERS, WIDTH * EMBED)
+            dfilters += np.einsum("nfk,nf->kf", seen, dact[own])
+            dseen = (dact[own][:, :, None] * self.filters.T[None]).reshape(-1, WIDTH, EMBED).reshape(-1, EMBED)
+            dembed += np.stack([np.bincount(bytes_at.reshape(-1), dseen[:, e], 256) for e in range(EMBED)], axis=1)
         return [g.astype(np.float32) for g in (dembed, dfilters, dact.sum(0), mean.T @ dh, dh.sum(0), h.T @ dz, dz.sum(keepdims=True))]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
-    """Sampled chunks and label of about ``sample`` texts of each label, and how many labels there are of each."""
+    """All chunks and label of about ``sample`` texts of each label, and how many rows of ``docs`` have each label."""
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
-    counts = {r["__y"]: r["count"] for r in marked.groupBy("__y").count().collect()}
+    own = docs.select(F.col(id_col).alias("__id")).join(marked, "__id")
+    counts = {r["__y"]: r["count"] for r in own.groupBy("__y").count().collect()}
     share = F.when(F.col("__y") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))
     picked = marked.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30) < share)  # at most a few thousand rows
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
@@ -151,7 +162,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             found = []
             for low, high in zip(at[:-1], at[1:], strict=True):
                 own, _ = chunks(body[low:high], np.array([0, high - low]))
-                found.append(own[np.unique(np.linspace(0, len(own) - 1, CHUNKS_SEEN).round().astype(int))].tobytes())
+                found.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["id", "seen", "y"])
 
     kind = docs.schema[id_col].dataType.simpleString()

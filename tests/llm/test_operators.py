@@ -447,6 +447,27 @@ def test_quality(spark, docs, empty):
     assert quality.fit(empty, labels).probability(np.zeros((1, quality.FILTERS)))[0] == pytest.approx(0.5, abs=0.01)
 
 
+def test_quality_learns_from_whole_texts_and_own_labels(spark):
+    texts = [(i, "plain words go on and on " * 200 if i % 2 else "plain words go on and on " * 90 + "zq#" * 70 + "plain words go on and on " * 110) for i in range(40)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    fold = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    others = spark.createDataFrame([(i, 1) for i in range(100, 600)], "doc_id long, quality int")
+    got, counts = quality.training_rows(rows, fold.unionByName(others), "doc_id", "text", "quality", quality.SAMPLE)
+    whole = [(quality.chunks(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tobytes(), i % 2) for i, t in texts]
+    assert sorted(got) == sorted(whole) and counts == {0: 20, 1: 20}
+    net, same = quality.fit(rows, fold.unionByName(others)), quality.fit(rows, fold)
+    assert all((a == b).all() for a, b in zip(net.parts(), same.parts(), strict=True))
+    assert all((r.predicted == 1) == (r.doc_id % 2 == 1) for r in quality.score(rows, net, ["doc_id"]).collect())
+
+
+def test_quality_gradient_in_parts(monkeypatch):
+    r = np.random.default_rng(3)
+    rows, sizes, y = r.integers(0, 256, (12, quality.CHUNK)).astype(np.uint8), np.array([5, 1, 6]), np.array([0, 1, 1], np.float32)
+    whole = quality.Network.fresh().gradient(rows, sizes, y)
+    monkeypatch.setattr(quality, "UNROLLED", 5)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, quality.Network.fresh().gradient(rows, sizes, y), strict=True))
+
+
 def test_quality_chunks_cover_every_byte():
     body = np.arange(1, 2001, dtype=np.uint64).astype(np.uint8)
     at = np.array([0, 0, 1, 255, 256, 257, 1000, 2000])
