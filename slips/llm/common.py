@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the cluster names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="slips-"))
         folder = _OWN_DIR[0]
@@ -65,17 +67,46 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
-#: Dropped rows (about 50 bytes each) that are broadcast; more are removed by a shuffle join.
-BROADCAST_DROPPED = 500_000
+#: Most rows (about 50 bytes each) that are broadcast; what goes beyond is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """``rows`` joined with their groups, at most one for each key; ``size`` says how many of the ``n`` rows a group has.
+
+    Groups of more than n / BROADCAST_ROWS rows are broadcast: there are fewer than BROADCAST_ROWS of them. The others are
+    joined by a shuffle, in which no key has more rows than that.
+    """
+    most = max(1, n // BROADCAST_ROWS)
+    hot = F.broadcast(groups.where(F.col(size) > most).select(F.col(key).alias("__hot"), F.struct(*groups.columns).alias("__group")))
+    told = rows.join(hot, F.col(key) == F.col("__hot"), "left")
+    more = [c for c in groups.columns if c != key]
+    found = told.where("__hot is not null").select(*rows.columns, *(F.col(f"__group.{c}").alias(c) for c in more))
+    rest = told.where("__hot is null").select(*rows.columns).join(groups.where(F.col(size) <= most), key, "left")
+    return found.unionByName(rest)
 
 
 def without(docs: DataFrame, dropped: DataFrame, **keys: Column) -> DataFrame:
     """``docs`` less the rows whose ``keys`` (name in ``dropped`` to expression over docs) are listed; nulls match nulls.
 
-    Texts are not shuffled as long as the list fits ``BROADCAST_DROPPED``.
+    Texts are not shuffled as long as the list fits ``BROADCAST_ROWS``.
     """
     listed = stash(dropped.select(*keys).distinct(), "dropped")
-    small = listed.count() <= BROADCAST_DROPPED
+    return docs.join(*_listed(listed, keys), "left_anti")
+
+
+def _listed(listed: DataFrame, keys: dict[str, Column]) -> tuple[DataFrame, list[Column]]:
+    small = listed.count() <= BROADCAST_ROWS
     named = listed.select(*(F.col(k).alias(f"__{k}") for k in keys))
-    on = [e.eqNullSafe(F.col(f"__{k}")) for k, e in keys.items()]
-    return docs.join(F.broadcast(named) if small else named, on, "left_anti")
+    return F.broadcast(named) if small else named, [e.eqNullSafe(F.col(f"__{k}")) for k, e in keys.items()]
+
+
+def once(docs: DataFrame, repeated: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` with one row (the least) for each of the listed ``keys``, as in ``without``; other rows stay.
+
+    Rows are summed up in each task before they are shuffled, so a row that fills the table meets itself once a task.
+    """
+    on = _listed(stash(repeated.select(*keys).distinct(), "repeated"), keys)
+    several = docs.withColumns({f"__of_{k}": e for k, e in keys.items()}).join(*on, "left_semi")
+    least = several.groupBy(*(f"__of_{k}" for k in keys)).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return docs.join(*on, "left_anti").unionByName(least.select("__row.*"))

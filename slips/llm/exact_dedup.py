@@ -2,8 +2,9 @@
 
 Equal texts are texts with the same code points after no change; null counts as empty. Of a group
 the row with the largest id stays. Rows with a null id can only stay if no other row of the group
-has an id. Rows that repeat both id and text are one document given twice and carry the same
-verdict. An empty table gives an empty result; further columns of the input are ignored.
+has an id. Rows that repeat both id and text are one document given twice: ``refine`` gives them the
+same verdict, ``unique`` keeps one of them. An empty table gives an empty result; further columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -11,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash, without
+from .common import BROADCAST_ROWS, once, read_table, stash, with_groups, without
 
 #: Code points of the prefix that the second level hashes.
 PREFIX = 64
-#: Most (length, prefix) groups, 16 bytes each, that are broadcast; more are joined by shuffle.
-BROADCAST_GROUPS = 500_000
 
 
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest_all: bool = False) -> DataFrame:
@@ -24,7 +23,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
 
     The digest is null for rows that an earlier level has already shown to be unique, unless
     ``digest_all`` asks for it. Only the narrow keys are shuffled, never texts, as long as the
-    surviving groups fit ``BROADCAST_GROUPS``.
+    surviving groups fit ``BROADCAST_ROWS``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
@@ -35,7 +34,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     lengths = keys.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
     groups = keys.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = stash(groups.join(lengths, "len", "left_semi").select("len", "prefix", F.lit(True).alias("open")), "dedup-open")
-    small = groups.count() <= BROADCAST_GROUPS
+    small = groups.count() <= BROADCAST_ROWS
     # Level 3: the full content of rows in surviving groups.
     marked = rows.join(F.broadcast(groups) if small else groups, ["len", "prefix"], "left")
     digest = F.sha2(F.col("t"), 256)
@@ -53,7 +52,9 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
         .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
     )
-    opened = hashed.where("open").join(found, "sha", "left")
+    found = stash(found, "dedup-groups")
+    opened = hashed.where("open")
+    opened = with_groups(opened, found, "sha", "group_size", opened.count())
     alone = hashed.where("not open").select("*", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
     both = opened.unionByName(alone)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
@@ -68,9 +69,12 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
 
 def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the rows that another row of equal text replaces."""
-    dropped = refine(docs, id_col, text_col).where("not kept")
+    found = refine(docs, id_col, text_col)
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return without(docs, dropped, **{id_col: F.col(id_col), "text_sha256": digest})
+    keys = {id_col: F.col(id_col), "text_sha256": digest}
+    # Rows whose text is found once cannot repeat.
+    repeated = found.where("kept and group_size > 1").groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return once(without(docs, found.where("not kept"), **keys), repeated, **keys)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 The vocabulary is every word of the training texts, and every bigram and trigram of them is kept, however rare:
-what the model holds grows with the corpus. N-grams carry absolutely discounted probabilities and interpolate
-down to the unigrams; words that training never saw share the mass of one unseen word.
-
-Texts are gathered into chunks that carry their own dictionary. A chunk sends its distinct trigrams, with their
-training counts, to blocks chosen by the trigram's context (its first two words). A block sums the counts of its
-contexts, packs them as trie levels of monotone pointers and context-relative ids in Elias-Fano form with one-byte
-probabilities, and answers each chunk's trigrams by successor search. How often a bigram occurs is the total of the
-context that it is, so the same answers give the lower order. Words are dealt to blocks of their own, which answer
-with each word's count and how many different words follow it. Blocks and chunks are of bounded size in expectation
-(a text is never cut, a context never split), and nothing but totals passes through the driver.
+what the model holds grows with the corpus. A trigram's probability is absolutely discounted and interpolates with
+that of the bigram, whose counts are smoothed by a Dirichlet prior, the unigrams; words that training never saw
+share the mass of one unseen word.
+
+Texts are gathered into chunks that carry their own dictionary. First each chunk sends its words to blocks of words,
+which answer with each word's count and, if more than one chunk has it, its number. A trigram whose first two words
+are such shared words has its context dealt to a block by hash: the chunk sends its distinct contexts, what follows
+each, and how often in training. The block sums the counts of its contexts and packs them as trie levels of monotone
+pointers and context-relative ids in Elias-Fano form with one-byte probabilities, and answers each chunk by successor
+search. A context with a word that only one chunk has is complete in that chunk, which packs those into a trie of its own;
+where only the third word is the chunk's own, the block is told how many such words follow the context and how often.
+How often a bigram occurs is the total of the context that it is, so the same answers give the lower order.
+Blocks and chunks are of bounded size in expectation (a text is never cut, a context never split), nothing but totals
+passes through the driver, and the scores do not depend on how texts are gathered.
 
 Words are known by 62-bit hashes: among 10^8 different words two are taken for one with probability about 1/900.
 
@@ -22,7 +26,6 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,249 +35,276 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, read_table, stash
 from .elias_fano import LEVELS, Level, quantise
-from .texts import mix
+from .texts import FOLD_BLANKS, mix, slices, squeeze, text_buffer, unsqueeze, word_hashes
 
-#: Words of the model's vocabulary (None: all of training); discount; least count of an n-gram that is kept (1: all).
-VOCABULARY, DISCOUNT, LEAST = None, 0.75, 1
+#: Discount of trigrams, and weight of the prior of bigrams in tokens.
+DISCOUNT, PRIOR = 0.75, 400.0
 #: Trigrams that a block is sent, in expectation.
 BLOCK = 1_000_000
 #: Tokens of a chunk; the text that reaches it is taken whole.
-CHUNK = 400_000
-#: Ids of the start, the end and what follows it; the same in every dictionary.
-START, END, AFTER, FIRST = 0, 1, 2, 3
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def word_id(word: bytes) -> int:
-    return (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 2) + FIRST
-
-
-class Places(dict):
-    """Each new word gets the next number."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        return place
-
+CHUNK = 600_000
+#: Numbers of the start, the end, what follows it, and a third word that only its chunk has; shared words follow.
+START, END, AFTER, OWN, FIRST = 0, 1, 2, 3, 4
+#: In a chunk the words of its dictionary follow start, end and what follows it.
+MARKS = 3
+#: The byte that says that a trigram is not in the trie.
+ABSENT = 255
 
-CODED = "chunk long, doc_id array<{0}>, held_out array<boolean>, sizes binary, words binary, ids binary, n long, ends long"
+CODED = "chunk long, doc_id array<{0}>, held_out array<boolean>, sizes binary, words binary, trained binary, ids binary, n long, ends long"
 
 
 def coded(docs: DataFrame, kind: str) -> DataFrame:
-    """Chunks of texts: rows' ids and folds, tokens of each, the dictionary (sorted word ids) and places in it."""
+    """Chunks of texts: rows' ids and folds, tokens of each, the dictionary (sorted word hashes, and how often training has
+    each) and the tokens' places in it."""
+    names = [x.split()[0] for x in CODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth = TaskContext.get().partitionId(), 0
+        ids, folds, hashes, sizes, size = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            hashes = np.fromiter(map(word_id, places), np.int64, len(places))
-            words = np.unique(np.concatenate((np.arange(FIRST), hashes)))
-            ids = np.searchsorted(words, hashes).astype(np.int32)[np.concatenate(held)] if places else np.zeros(0, np.int32)
-            sizes = np.array([len(x) for x in held], np.int64)
-            own = pa.concat_arrays(doc_ids)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own, pa.concat_arrays(folds))]
-            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (sizes, words, ids)]
-            ends = len(own) - sum(x.true_count for x in folds)
-            longs = [pa.array([x], pa.int64()) for x in (len(ids) + 2 * len(sizes), ends)]
+            words, places = np.unique(np.concatenate(hashes), return_inverse=True)
+            n, own, fold = np.concatenate(sizes), pa.concat_arrays(ids), pa.concat_arrays(folds)
+            training = np.repeat(~fold.to_numpy(zero_copy_only=False).astype(bool), n)
+            trained = np.bincount(places, training, len(words)).astype(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own, fold)]
+            blobs = [pa.array([squeeze(x)], pa.binary()) for x in (n, np.diff(words, prepend=0), trained, places)]
+            longs = [pa.array([x], pa.int64()) for x in (len(places) + 2 * len(n), len(n) - fold.true_count)]
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | nth], pa.int64()), *lists, *blobs, *longs], names=names)
 
-        names = ["chunk", "doc_id", "held_out", "sizes", "words", "ids", "n", "ends"]
-        places, held, doc_ids, folds, size = Places(), [], [], [], 0
         for batch in batches:
-            first = 0
-            for row, text in enumerate(batch.column(2)):
-                own = tokens(text.as_py())
-                held.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
-                size += len(own) + 2
-                if size >= CHUNK or row + 1 == len(batch):
-                    doc_ids.append(batch.column(0).slice(first, row + 1 - first))
-                    folds.append(batch.column(1).slice(first, row + 1 - first))
-                    first = row + 1
+            body, at = text_buffer(batch.column(2))
+            for low, high in slices(at):
+                h, n = word_hashes(body, at[low : high + 1], FOLD_BLANKS)
+                ids.append(batch.column(0).slice(low, high - low))
+                folds.append(batch.column(1).slice(low, high - low))
+                hashes.append((h >> np.uint64(2)).astype(np.int64))
+                sizes.append(n.astype(np.int64))
+                size += len(h) + 2 * len(n)
                 if size >= CHUNK:
                     yield out()
                     nth += 1
-                    places, held, doc_ids, folds, size = Places(), [], [], [], 0
-        if held:
+                    ids, folds, hashes, sizes, size = [], [], [], [], 0
+        if sizes:
             yield out()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, CODED.format(kind))
 
 
-def block_of(first: np.ndarray, second: np.ndarray, blocks: int) -> np.ndarray:
-    h = mix(first.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
-    return (mix(h) % np.uint64(blocks)).astype(np.int64)
-
+#: What goes between chunks and blocks: packed columns.
+PARCEL = "dest long, source long, a binary, b binary, c binary, d binary, total long, kinds long"
+NAMES = [x.split()[0] for x in PARCEL.split(", ")]
 
-def distinct(u: np.ndarray, v: np.ndarray, w: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct triples of ids below ``size``, sorted, and where each given triple is among them."""
-    pair, place = np.unique(u * size + v, return_inverse=True)
-    key, back = np.unique(place * size + w, return_inverse=True)
-    pair = pair[key // size]
-    return pair // size, pair % size, key % size, back
-
-
-class Chunk:
-    """A row of ``coded``, and its trigrams: those of a text are its tokens, its end, and what follows the end."""
 
-    def __init__(self, row: dict, blocks: int):
-        self.sizes, self.words = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["words"], np.int64)
-        self.ids = np.frombuffer(row["ids"], np.int32)
-        n = len(self.sizes)
-        self.at = np.concatenate(([0], np.cumsum(self.sizes + 2)))  # trigrams before each text
-        s = np.full(len(self.ids) + 4 * n, START, np.int64)
-        s[np.arange(len(self.ids)) + np.repeat(4 * np.arange(n) + 2, self.sizes)] = self.ids
-        stop = self.at[1:] + 2 * np.arange(1, n + 1)
-        s[stop - 2], s[stop - 1] = END, AFTER
-        where = np.arange(self.at[-1]) + np.repeat(2 * np.arange(n), self.sizes + 2)
-        self.u, self.v, self.w = s[where], s[where + 1], s[where + 2]
-        self.training = np.repeat(~np.array(row["held_out"], bool), self.sizes + 2)
-        self.keys = ku, kv, _, self.back = distinct(self.u, self.v, self.w, len(self.words))
-        block = block_of(self.words[ku], self.words[kv], blocks)
-        self.order = np.argsort(block, kind="stable")
-        self.cuts = np.searchsorted(block[self.order], np.arange(blocks + 1))
-
-    def word_blocks(self, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-        return by_block(self.words, blocks)
-
-
-def by_block(words: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that brings words together by block, and where each block begins in it."""
-    block = block_of(words, words, blocks)
-    order = np.argsort(block, kind="stable")
-    return order, np.searchsorted(block[order], np.arange(blocks + 1))
+def parcels(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], t) for k, t in enumerate(kinds)], names=NAMES)
 
 
-#: What goes between chunks and blocks: packed columns of one chunk's or block's entries.
-PARCEL = "dest long, source long, words binary, places binary, n binary"
-NAMES = ["dest", "source", "words", "places", "n"]
+def word_parcels(seen: DataFrame, blocks: int) -> DataFrame:
+    """Each chunk's words by block of words (a range of hashes), with how often its training texts have them."""
+    width = -(-(1 << 62) // blocks)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, trained = np.cumsum(unsqueeze(r["words"])), unsqueeze(r["trained"])
+                cuts = np.searchsorted(words // width, np.arange(blocks + 1))
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                yield parcels([(b, r["chunk"], squeeze(np.diff(words[cuts[b] : cuts[b + 1]], prepend=0)), squeeze(trained[cuts[b] : cuts[b + 1]])) for b in some])
 
-def parcels(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=NAMES)
+    return seen.select("chunk", "words", "trained").mapInArrow(run, PARCEL)
 
 
-def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(len(batch)):
-            yield batch.slice(k, 1).to_pylist()[0]
+def answer_words(sent: DataFrame, blocks: int) -> DataFrame:
+    """Answers to chunks: numbers of words (0: only this chunk has it) and their counts; and each block's totals (dest -1)."""
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["source"])
+        block = rows[0]["dest"]
+        own = [np.cumsum(unsqueeze(r["a"])) for r in rows]
+        words, back = np.unique(np.concatenate(own), return_inverse=True)
+        # Sums of whole numbers: exact as long as a word occurs less than 2^53 times.
+        count = np.bincount(back, np.concatenate([unsqueeze(r["b"]) for r in rows]), len(words)).astype(np.int64)
+        shared = np.flatnonzero(np.bincount(back, minlength=len(words)) > 1)
+        number = np.zeros(len(words), np.int64)
+        number[shared[np.argsort(-count[shared], kind="stable")]] = np.arange(len(shared)) * blocks + block + FIRST
+        out, low = [(-1, block, None, None, None, None, int(count.sum()), int((count > 0).sum()))], 0
+        for r, x in zip(rows, own, strict=True):
+            at = back[low : low + len(x)]
+            low += len(x)
+            out.append((r["source"], -1 - block, squeeze(number[at]), squeeze(count[at])))
+        return pa.Table.from_batches([parcels(out)])
 
-def trigram_parcels(seen: DataFrame, blocks: int) -> DataFrame:
-    """Each chunk's distinct trigrams by block, with how often its training texts have them."""
+    return sent.groupBy("dest").applyInArrow(run, PARCEL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in chunk_rows(batches):
-            c = Chunk(row, blocks)
-            n = np.bincount(c.back, c.training, len(c.order)).astype(np.int32)
-            rows = []
-            for b in np.flatnonzero(np.diff(c.cuts)).tolist():
-                own = c.order[c.cuts[b] : c.cuts[b + 1]]
-                used, places = np.unique(np.concatenate([x[own] for x in c.keys[:3]]), return_inverse=True)
-                places = places.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-                rows.append((b, row["chunk"], c.words[used].tobytes(), places.tobytes(), n[own].tobytes()))
-            yield parcels(rows)
 
-    return seen.select("chunk", "held_out", "sizes", "words", "ids").mapInArrow(run, PARCEL)
+def block_of(first: np.ndarray, second: np.ndarray, blocks: int) -> np.ndarray:
+    h = mix(first.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    return (mix(h) % np.uint64(blocks)).astype(np.int64)
 
 
 class Trie:
     """Trigrams under their contexts: first word, second word, then the words that follow."""
 
-    def __init__(self, size: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray):
-        """Of distinct sorted trigrams of ids below ``size`` and their counts."""
-        context, first, parent = np.unique(u * size + v, return_index=True, return_inverse=True)
-        self.upper, self.lower = u[first], v[first]
-        self.whole = np.bincount(parent, n, len(context)).astype(np.int64)
-        p = (n - DISCOUNT) / self.whole[parent]
-        self.left = quantise(np.maximum(1 - np.bincount(parent, p, len(context)), 1e-7))
-        self.top = Level.build(size, self.upper, self.lower, np.ones(len(context)))
-        self.words = Level.build(len(context), parent, w, p)
-
-    def find(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Whether a trigram is there, its level, the level of what its context leaves (0: all) and the context's total."""
-        none = np.zeros(len(u), np.uint8)
+    def __init__(self, size: int, u: np.ndarray, v: np.ndarray, parent: np.ndarray, w: np.ndarray, n: np.ndarray, more: np.ndarray, kinds: np.ndarray):
+        """Of distinct sorted contexts (u, v) of words below ``size``; of the distinct sorted words ``w`` that follow them in
+        training, n times; and of ``kinds`` other words, that follow ``more`` times in all."""
+        at = np.flatnonzero(n > 0)
+        parent, w, n = parent[at], w[at], n[at]
+        self.whole = np.bincount(parent, n, len(u)).astype(np.int64) + more
+        self.left = quantise(np.clip(DISCOUNT * (np.bincount(parent, minlength=len(u)) + kinds) / np.maximum(self.whole, 1), 1e-7, 1))
+        self.top = Level.build(size, u, v, np.ones(len(u)))
+        self.words = Level.build(len(u), parent, w, np.maximum((n - DISCOUNT) / self.whole[parent], 2e-7))
+
+    def contexts(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of contexts (below 0: not there), the level of what each leaves to the lower order, and its total."""
+        none = np.zeros(len(u), np.int64)
         if not len(self.whole):
-            return np.zeros(len(u), bool), none, none, np.zeros(len(u), np.int64)
+            return none - 1, none, none
         at, known = self.top.find(u, v)
-        spot, found = self.words.find(np.where(known, at, -1), w)
-        return found, np.where(found, self.words.values[spot], none), np.where(known, self.left[at], none), np.where(known, self.whole[at], 0)
-
+        known &= self.whole[at] > 0
+        return np.where(known, at, -1), np.where(known, self.left[at], 0).astype(np.int64), np.where(known, self.whole[at], 0)
 
-ANSWER = np.dtype([("found", "?"), ("p", "u1"), ("left", "u1"), ("whole", "<i8")])
+    def levels(self, context: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Levels of trigrams' probabilities."""
+        at, found = self.words.find(context, w)
+        return np.where(found, self.words.values[at], ABSENT).astype(np.int64) if len(self.words.values) else np.full(len(w), ABSENT, np.int64)
 
 
-def answer_trigrams(sent: DataFrame, word_blocks: int) -> DataFrame:
-    """Answers to chunks (places holds ANSWER columns), and followers of words to word blocks (dest below 0)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        block = rows[0]["dest"]
-        own = [np.frombuffer(r["words"], np.int64) for r in rows]
-        words = np.unique(np.concatenate(own))
-        counts = [np.frombuffer(r["n"], np.int32) for r in rows]
-        triples = []
-        for r, x, n in zip(rows, own, counts, strict=True):
-            places = np.frombuffer(r["places"], np.uint16 if len(r["places"]) == 6 * len(n) else np.uint32)
-            triples.append(np.searchsorted(words, x)[places].reshape(3, -1))
-        u, v, w, back = distinct(*np.concatenate(triples, axis=1), len(words))
-        n = np.bincount(back, np.concatenate(counts), len(u))
-        kept = n >= LEAST
-        trie = Trie(len(words), u[kept], v[kept], w[kept], n[kept])
-        found = trie.find(u, v, w)
-        out, low = [], 0
-        for r, n in zip(rows, counts, strict=True):
-            at = back[low : low + len(n)]
-            low += len(n)
-            out.append((r["source"], block, None, b"".join(x[at].tobytes() for x in found), None))
-        # Each context but (start, start) is a bigram of training.
-        bigram = (words[trie.upper] != START) | (words[trie.lower] != START)
-        firsts, follow = np.unique(trie.upper[bigram], return_counts=True)
-        order, cuts = by_block(words[firsts], word_blocks)
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            at = order[cuts[b] : cuts[b + 1]]
-            out.append((-1 - b, -1, words[firsts[at]].tobytes(), None, follow[at].astype(np.int64).tobytes()))
-        return pa.Table.from_batches([parcels(out)])
+class Chunk:
+    """A row of ``coded``, and its trigrams: those of a text are its tokens, its end, and what follows the end."""
 
-    return sent.groupBy("dest").applyInArrow(run, PARCEL)
+    def __init__(self, row: dict, answers: list[dict], blocks: int):
+        answers = sorted(answers, key=lambda r: -r["source"])
+        numbers, counts = ([unsqueeze(r[c]) for r in answers] for c in "ab")
+        self.number = np.concatenate([[START, END, AFTER], *numbers]).astype(np.int64)
+        self.count = np.concatenate([np.zeros(MARKS, np.int64), *counts])
+        self.sizes, ids = unsqueeze(row["sizes"]), unsqueeze(row["ids"])
+        n = len(self.sizes)
+        self.at = np.concatenate(([0], np.cumsum(self.sizes + 2)))  # trigrams before each text
+        s = np.full(len(ids) + 4 * n, START, np.int64)
+        s[np.arange(len(ids)) + np.repeat(4 * np.arange(n) + 2, self.sizes)] = ids + MARKS
+        stop = self.at[1:] + 2 * np.arange(1, n + 1)
+        s[stop - 2], s[stop - 1] = END, AFTER
+        where = np.arange(self.at[-1]) + np.repeat(2 * np.arange(n), self.sizes + 2)
+        self.v, self.w = s[where + 1], s[where + 2]
+        training = np.repeat(~np.array(row["held_out"], bool), self.sizes + 2)
+        # Distinct contexts and trigrams; ``back`` has each trigram's place among the distinct.
+        size = len(self.number)
+        pair, place = np.unique(s[where] * size + self.v, return_inverse=True)
+        key, self.back = np.unique(place * size + self.w, return_inverse=True)
+        self.pu, self.pv, self.context, self.kw = pair // size, pair % size, key // size, key % size
+        self.n = np.bincount(self.back, training, len(key)).astype(np.int64)
+        alone = self.number == 0
+        alone[:MARKS] = False
+        self.own_pair = alone[self.pu] | alone[self.pv]
+        self.own_word = alone[self.kw]
+        # Shared contexts by block, and by their words' numbers; entries by context and third word.
+        shared = np.flatnonzero(~self.own_pair)
+        block = block_of(self.number[self.pu[shared]], self.number[self.pv[shared]], blocks)
+        order = np.lexsort((self.number[self.pv[shared]], self.number[self.pu[shared]], block))
+        self.pairs = shared[order]
+        self.pair_cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+        position = np.full(len(pair), -1, np.int64)
+        position[self.pairs] = np.arange(len(self.pairs))
+        self.sent = np.flatnonzero(position[self.context] >= 0)
+        third = np.where(self.own_word[self.sent], OWN, self.number[self.kw[self.sent]])
+        known, rank = np.unique(third, return_inverse=True)
+        entry, self.to_entry = np.unique(position[self.context[self.sent]] * max(1, len(known)) + rank, return_inverse=True)
+        self.entry_pair, self.entry_word = entry // max(1, len(known)), known[entry % max(1, len(known))]
+        self.entry_cuts = np.searchsorted(self.entry_pair, self.pair_cuts)
+
+    def parcels(self, chunk: int) -> pa.RecordBatch:
+        n = np.bincount(self.to_entry, self.n[self.sent], len(self.entry_pair)).astype(np.int64)
+        kinds = np.bincount(self.to_entry, self.n[self.sent] > 0, len(self.entry_pair)).astype(np.int64)
+        u, v = self.number[self.pu[self.pairs]], self.number[self.pv[self.pairs]]
+        follow = np.bincount(self.entry_pair, minlength=len(u))
+        rows = []
+        for b in np.flatnonzero(np.diff(self.pair_cuts)).tolist():
+            p, e = slice(self.pair_cuts[b], self.pair_cuts[b + 1]), slice(self.entry_cuts[b], self.entry_cuts[b + 1])
+            own = self.entry_word[e] == OWN
+            context = np.concatenate((np.diff(u[p], prepend=0), v[p], follow[p]))
+            rows.append((b, chunk, squeeze(context), squeeze(self.entry_word[e]), squeeze(n[e]), squeeze(kinds[e][own])))
+        return parcels(rows)
+
+    def own_trie(self) -> tuple[Trie, np.ndarray]:
+        """Trie of the contexts that only this chunk has, and their places among all contexts."""
+        pairs = np.flatnonzero(self.own_pair)
+        position = np.full(len(self.own_pair), -1, np.int64)
+        position[pairs] = np.arange(len(pairs))
+        at = np.flatnonzero(position[self.context] >= 0)
+        none = np.zeros(len(pairs), np.int64)
+        return Trie(len(self.number), self.pu[pairs], self.pv[pairs], position[self.context[at]], self.kw[at], self.n[at], none, none), pairs
+
+    def looked_up(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct trigram: its probability, what its context leaves to the lower order, and the context's total."""
+        level = np.full(len(self.kw), ABSENT, np.int64)
+        left, whole = np.zeros(len(self.pu), np.int64), np.zeros(len(self.pu), np.int64)
+        trie, pairs = self.own_trie()
+        places, left[pairs], whole[pairs] = trie.contexts(self.pu[pairs], self.pv[pairs])
+        position = np.full(len(self.pu), -1, np.int64)
+        position[pairs] = places
+        mine = np.flatnonzero(self.own_pair[self.context])
+        level[mine] = trie.levels(position[self.context[mine]], self.kw[mine])
+        entries = np.full(len(self.entry_pair), ABSENT, np.int64)
+        for r in answers:
+            b = r["source"]
+            p = self.pairs[self.pair_cuts[b] : self.pair_cuts[b + 1]]
+            entries[self.entry_cuts[b] : self.entry_cuts[b + 1]] = unsqueeze(r["a"])
+            left[p], whole[p] = unsqueeze(r["b"]), unsqueeze(r["c"])
+        level[self.sent] = entries[self.to_entry]
+        # Words that only this chunk has, after shared contexts.
+        single = self.sent[self.own_word[self.sent] & (self.n[self.sent] > 0)]
+        level[single] = quantise(np.maximum((self.n[single] - DISCOUNT) / whole[self.context[single]], 2e-7))
+        return np.where(level == ABSENT, 0.0, LEVELS[level]), LEVELS[left[self.context]], whole[self.context]
 
 
-def word_parcels(seen: DataFrame, word_blocks: int) -> DataFrame:
-    """Each chunk's words by word block, with how often its training texts have them."""
+def trigram_parcels(seen: DataFrame, of_words: DataFrame, blocks: int) -> DataFrame:
+    """Each chunk's shared contexts by block, what follows them, and how often in training."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in chunk_rows(batches):
-            words, sizes = np.frombuffer(row["words"], np.int64), np.frombuffer(row["sizes"], np.int64)
-            training = np.repeat(~np.array(row["held_out"], bool), sizes)
-            n = np.bincount(np.frombuffer(row["ids"], np.int32), training, len(words)).astype(np.int64)
-            order, cuts = by_block(words, word_blocks)
-            at = [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
-            yield parcels([(-1 - b, row["chunk"], words[own].tobytes(), None, n[own].tobytes()) for b, own in at])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([Chunk(r, right.to_pylist(), blocks).parcels(r["chunk"]) for r in left.to_pylist()], schema=parcels([]).schema)
 
-    return seen.select("chunk", "held_out", "sizes", "words", "ids").mapInArrow(run, PARCEL)
+    chunks = seen.select("chunk", "held_out", "sizes", "ids")
+    return chunks.groupBy("chunk").cogroup(of_words.groupBy("dest")).applyInArrow(run, PARCEL)
 
 
-def answer_words(sent: DataFrame) -> DataFrame:
-    """Answers to chunks: counts of words and how many words follow each; source -1: tokens and words of the block."""
+def answer_trigrams(sent: DataFrame) -> DataFrame:
+    """Answers to chunks: levels of the trigrams, and of each context what it leaves and its total."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = sorted(table.to_pylist(), key=lambda r: r["source"])
         block = rows[0]["dest"]
-        own = [np.frombuffer(r["words"], np.int64) for r in rows]
-        words, back = np.unique(np.concatenate(own), return_inverse=True)
-        n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
-        from_chunk = np.repeat([r["source"] >= 0 for r in rows], [len(x) for x in own])
-        # Sums of integers: exact as long as a word occurs less than 2^53 times.
-        c, follow = (np.bincount(back, np.where(mine, n, 0), len(words)).astype(np.int64) for mine in (from_chunk, ~from_chunk))
-        out, low = [(-1, block, None, None, np.array([c.sum(), (c > 0).sum()], np.int64).tobytes())], 0
-        for r, x in zip(rows, own, strict=True):
-            at = back[low : low + len(x)]
-            low += len(x)
-            if r["source"] >= 0:
-                out.append((r["source"], block, None, None, c[at].tobytes() + follow[at].tobytes()))
+        us, vs, follow, ws, ns, more = [], [], [], [], [], []
+        for r in rows:
+            u, v, f = unsqueeze(r["a"]).reshape(3, -1)
+            us.append(np.cumsum(u))
+            vs.append(v)
+            follow.append(f)
+            ws.append(unsqueeze(r["b"]))
+            ns.append(unsqueeze(r["c"]))
+            kinds = np.zeros(len(ws[-1]), np.int64)
+            kinds[ws[-1] == OWN] = unsqueeze(r["d"])
+            more.append(kinds)
+        pair_ends, entry_ends = np.cumsum([len(x) for x in us]), np.cumsum([len(x) for x in ws])
+        u, v, w, n, kinds = (np.concatenate(x) for x in (us, vs, ws, ns, more))
+        known, places = np.unique(np.concatenate((u, v, w)), return_inverse=True)
+        u, v, w = np.split(places, [len(u), len(u) + len(v)])
+        pair, place = np.unique(u * len(known) + v, return_inverse=True)
+        context = np.repeat(place, np.concatenate(follow))
+        named = np.flatnonzero(known[w] != OWN)
+        key, back = np.unique(context[named] * len(known) + w[named], return_inverse=True)
+        single = np.setdiff1d(np.arange(len(w)), named, assume_unique=True)
+        sums = lambda x: np.bincount(context[single], x[single], len(pair)).astype(np.int64)
+        trie = Trie(len(known), pair // len(known), pair % len(known), key // len(known), key % len(known), np.bincount(back, n[named], len(key)).astype(np.int64), sums(n), sums(kinds))
+        at, left, whole = trie.contexts(pair // len(known), pair % len(known))
+        level = np.full(len(w), ABSENT, np.int64)
+        level[named] = trie.levels(at[key // len(known)], key % len(known))[back]
+        out = []
+        for r, p, e, np_, ne in zip(rows, pair_ends.tolist(), entry_ends.tolist(), map(len, us), map(len, ws), strict=True):
+            own = place[p - np_ : p]
+            out.append((r["source"], block, squeeze(level[e - ne : e]), squeeze(left[own]), squeeze(whole[own])))
         return pa.Table.from_batches([parcels(out)])
 
     return sent.groupBy("dest").applyInArrow(run, PARCEL)
@@ -283,45 +313,34 @@ def answer_words(sent: DataFrame) -> DataFrame:
 SCORED = "doc_id {0}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def assembled(seen: DataFrame, answers: DataFrame, blocks: int, word_blocks: int, total: int, kinds: int, ends: int, kind: str) -> DataFrame:
-    """Scores of each chunk's texts from the answers to its trigrams and words."""
+def assembled(seen: DataFrame, answers: DataFrame, blocks: int, total: int, kinds: int, ends: int, kind: str) -> DataFrame:
+    """Scores of each chunk's texts from the answers to its words and trigrams."""
+    names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        c = Chunk(row, blocks)
-        found, p, rest = np.zeros(len(c.order), bool), np.zeros(len(c.order), np.uint8), np.zeros(len(c.order), np.uint8)
-        whole, count, follow = np.zeros(len(c.order), np.int64), np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
-        order, cuts = c.word_blocks(word_blocks)
-        for r in right.to_pylist():
-            b = r["source"]
-            if b >= 0:
-                at, low = c.order[c.cuts[b] : c.cuts[b + 1]], 0
-                for (name, _), to in zip(ANSWER.fields.items(), (found, p, rest, whole), strict=True):
-                    to[at] = np.frombuffer(r["places"], ANSWER[name], len(at), low)
-                    low += len(at) * ANSWER[name].itemsize
-            else:
-                at = order[cuts[-1 - b] : cuts[-b]]
-                count[at], follow[at] = np.frombuffer(r["n"], np.int64).reshape(2, -1)
+        row, told = left.to_pylist()[0], right.to_pylist()
+        c = Chunk(row, [r for r in told if r["source"] < 0], blocks)
+        p3, rest, whole = c.looked_up([r for r in told if r["source"] >= 0])
+        count = c.count
         count[START] = count[END] = ends
-        logs = np.log10(count + 0.5)
         p1 = (count + 0.5) / (total + 0.5 * (kinds + 2))  # the unseen word and the end are two more
         # A bigram's count is the total of the context that the next trigram has.
-        own = np.ones(len(c.u), bool)
+        own = np.ones(len(c.v), bool)
         own[c.at[1:] - 1] = False
         own = np.flatnonzero(own)
         v, w, pair = c.v[own], c.w[own], whole[c.back[own + 1]]
-        lower = np.where(count[v] > 0, (np.maximum(pair - DISCOUNT, 0) + DISCOUNT * follow[v] * p1[w]) / np.maximum(count[v], 1), p1[w])
+        lower = (pair + PRIOR * p1[w]) / (count[v] + PRIOR)
         at = c.back[own]
-        lm = np.log10(np.where(found[at], LEVELS[p[at]], 0.0) + LEVELS[rest[at]] * lower)
-        begin = np.concatenate(([0], np.cumsum(c.sizes + 1)[:-1]))
-        sums = lambda x: np.add.reduceat(x, begin)
+        lm = np.log10(p3[at] + rest[at] * lower)
         n = c.sizes + 1
-        base = sums(logs[w]) - n * np.log10(total + 0.5 * (kinds + (ends > 0) + 1))
+        begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+        sums = lambda x: np.add.reduceat(x, begin)
+        base = sums(np.log10(count + 0.5)[w]) - n * np.log10(total + 0.5 * (kinds + (ends > 0) + 1))
         columns = [left["doc_id"].combine_chunks().flatten(), left["held_out"].combine_chunks().flatten(), pa.array(n), pa.array(sums((count[w] > 0).astype(np.int64)))]
         return pa.Table.from_arrays([*columns, pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(sums(lm))], names=names)
 
-    names = [x.split()[0] for x in SCORED.split(", ")]
-    return seen.groupBy("chunk").cogroup(answers.groupBy("dest")).applyInArrow(run, SCORED.format(kind))
+    chunks = seen.select("chunk", "doc_id", "held_out", "sizes", "ids")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("dest")).applyInArrow(run, SCORED.format(kind))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -330,13 +349,12 @@ def score(docs: DataFrame) -> DataFrame:
     seen = stash(coded(docs, kind), "lm-coded")
     n, ends = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK))
-    word_blocks = max(1, blocks // 4)
-    found = stash(answer_trigrams(trigram_parcels(seen, blocks), word_blocks), "lm-trigrams")
-    of_words = stash(answer_words(word_parcels(seen, word_blocks).unionByName(found.where("dest < 0"))), "lm-words")
-    sums = [np.frombuffer(r["n"], np.int64) for r in of_words.where("dest < 0").select("n").toLocalIterator()]
-    total, kinds = (int(sum(x[k] for x in sums)) for k in (0, 1))
-    answers = found.unionByName(of_words).where("dest >= 0").select("dest", "source", "places", "n")
-    return assembled(seen, answers, blocks, word_blocks, total + ends, kinds, ends, kind)
+    word_blocks = max(1, blocks // 2)
+    found = stash(answer_words(word_parcels(seen, word_blocks), word_blocks), "lm-words")
+    total, kinds = found.where("dest < 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    of_words = found.where("dest >= 0").select("dest", "source", "a", "b", "c")
+    of_trigrams = answer_trigrams(trigram_parcels(seen, of_words, blocks)).select("dest", "source", "a", "b", "c")
+    return assembled(seen, of_words.unionByName(of_trigrams), blocks, total + ends, kinds, ends, kind)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

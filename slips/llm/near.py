@@ -12,8 +12,8 @@ buckets is counted in one: in the small-bucket path if any of its buckets is sma
 
 A text of fewer than five words, but not none, has one shingle of all its words. Texts without words
 (empty or null) have no links; equal ones are copies of each other and share a class. Rows with null ids take part
-but never name a class unless all its ids are null. Rows that repeat id and text are copies of each other.
-Further columns are ignored; an empty table gives an empty result.
+but never name a class unless all its ids are null. Rows that repeat id and text are copies of each other,
+of which ``thin`` keeps one. Further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash, without
+from .common import BROADCAST_ROWS, once, read_table, stash, with_groups, without
 from .texts import mix, powers, slices, text_buffer, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -34,8 +34,6 @@ SHINGLE, SIMILAR = 5, 0.8
 RECALL, MOST_HASHES = 0.9999, 150
 #: Most nodes of a bucket that emits pairs; nodes of a block of a crowded one.
 SMALL, BLOCK = 16, 512
-#: Nodes (24 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
-BROADCAST_NODES = 500_000
 
 
 def banding(similar: float = SIMILAR, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -140,7 +138,7 @@ def nodes_texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """One text for each wanted node (nid, key)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("t")).withColumn("key", F.unhex(F.md5(F.col("t").cast("binary"))))
-    small = wanted.count() <= BROADCAST_NODES
+    small = wanted.count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(wanted) if small else wanted, "key").select("nid", "t").dropDuplicates(["nid"])
 
 
@@ -245,13 +243,17 @@ def crowded_links(members: DataFrame, texts: DataFrame, nodes: DataFrame, simila
 def components(edges: DataFrame) -> DataFrame:
     """node and root (least node) of the connected components of undirected edges (u, v)."""
     both = stash(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), "near-edges")
+    links = both.count()
+    degrees = stash(both.groupBy(F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("degree")), "near-degrees")
     roots = stash(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "near-roots")
-    before = None
+    n, before = roots.count(), None
     while True:
-        seen = both.join(roots.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("seen"))
-        hooked = roots.join(seen, "u").select("u", F.least("root", "seen").alias("root"))
-        above = hooked.select(F.col("u").alias("root"), F.col("root").alias("above"))
-        roots = stash(hooked.join(above, "root").select("u", F.col("above").alias("root")), "near-roots")
+        told = degrees.join(roots.withColumnRenamed("u", "v"), "v")
+        seen = with_groups(both, told, "v", "degree", links).groupBy("u").agg(F.min("root").alias("seen"))
+        hooked = stash(roots.join(seen, "u").select("u", F.least("root", "seen").alias("root")), "near-hooked")
+        followers = hooked.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        above = followers.join(hooked.select(F.col("u").alias("root"), F.col("root").alias("above")), "root")
+        roots = stash(with_groups(hooked, above, "root", "n", n).select("u", F.col("above").alias("root")), "near-roots")
         total = roots.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if total == before:
             return roots.select(F.col("u").alias("node"), "root")
@@ -268,8 +270,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     # Members of buckets that hold several nodes.
     banded = nodes.select("nid", F.posexplode("bands").alias("band", "h"))
-    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stash(banded.join(shared, "h").withColumn("crowded", F.col("n") > SMALL), "near-members")
+    shared = stash(banded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-shared")
+    members = with_groups(banded, shared, "h", "n", bands * nodes.count()).where("n is not null")
+    members = stash(members.withColumn("crowded", F.col("n") > SMALL), "near-members")
     texts = stash(nodes_texts(docs, nodes.join(members.select("nid").distinct(), "nid", "left_semi").select("key", "nid"), text_col), "near-texts")
 
     few = members.where("not crowded").select("h", "nid")
@@ -283,18 +286,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     linked = counted.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("root", "nid").alias("root"), "n_links")
     told = nodes.select("nid", "key", "least", "copies").join(linked, "nid", "left")
     told = stash(told.select("key", "least", "copies", F.coalesce("root", "nid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-told")
-    named_class = told.groupBy("root").agg(F.min("least").alias("class_id"))
-    told = told.join(named_class, "root").select("key", "class_id", "n_links", (F.col("copies") - 1).alias("n_copies"))
-    out = seen.select(F.col("id").alias(id_col), "key").join(told, "key")
+    named_class = stash(told.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("members")), "near-classes")
+    told = with_groups(told, named_class, "root", "members", told.count())
+    told = stash(told.select("key", "class_id", "n_links", "copies"), "near-named")
+    out = with_groups(seen.select(F.col("id").alias(id_col), "key"), told, "key", "copies", seen.count())
+    out = out.select(id_col, "key", "class_id", "n_links", (F.col("copies") - 1).alias("n_copies"))
     return out if keep_key else out.drop("key")
 
 
 def thin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class, the one with the least id."""
     found = classes(docs, id_col, text_col, keep_key=True)
-    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("class_id")))
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return without(docs, dropped, **{id_col: F.col(id_col), "key": digest})
+    keys = {id_col: F.col(id_col), "key": digest}
+    kept = F.col(id_col).eqNullSafe(F.col("class_id"))
+    repeated = found.where(kept & (F.col("n_copies") > 0)).groupBy(id_col, "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return once(without(docs, found.where(~kept), **keys), repeated, **keys)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

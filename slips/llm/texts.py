@@ -15,6 +15,10 @@ SLICE_BYTES = 1 << 20
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: As FOLD, but only blanks and the controls 9 to 13 part words.
+FOLD_BLANKS = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+
+
 def fold_words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
@@ -50,6 +54,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in few bytes: as many byte planes as the largest needs, compressed."""
+    x = np.ascontiguousarray(x, np.int64)
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return width.to_bytes(1, "little") + len(x).to_bytes(7, "little") + _ZSTD.compress(planes, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:8], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(_ZSTD.decompress(data[8:], n * width), np.uint8).reshape(width, n).T
+    return out.view(np.int64).reshape(-1)
+
+
 _POWERS = np.ones(1, np.uint64)
 
 
@@ -62,12 +85,12 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def word_hashes(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(body: np.ndarray, at: np.ndarray, fold: bytes = FOLD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all folded words of consecutive texts, and the number of words of each text.
 
     ``at`` holds the texts' offsets in ``body``; words end at the border of a text.
     """
-    folded = np.frombuffer(FOLD, np.uint8)[body[at[0] : at[-1]]]
+    folded = np.frombuffer(fold, np.uint8)[body[at[0] : at[-1]]]
     at = at - at[0]
     inside = folded != 32
     before = np.empty_like(inside)
