@@ -50,12 +50,12 @@ MARKS = 3
 #: The byte that says that a trigram is not in the trie.
 ABSENT = 255
 
-CODED = "chunk long, doc_id array<{0}>, held_out array<boolean>, sizes binary, words binary, trained binary, ids binary, n long, ends long"
+CODED = "chunk long, doc_id array<{0}>, held_out array<boolean>, sizes binary, words binary, held binary, trained binary, ids binary, n long, ends long"
 
 
 def coded(docs: DataFrame, kind: str) -> DataFrame:
-    """Chunks of texts: rows' ids and folds, tokens of each, the dictionary (sorted word hashes, and how often training has
-    each) and the tokens' places in it."""
+    """Chunks of texts: rows' ids and folds, tokens of each, the dictionary (sorted word hashes, how often the chunk and its
+    training texts have each), and the tokens as ranks of their words by how often the chunk has them."""
     names = [x.split()[0] for x in CODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +66,11 @@ def coded(docs: DataFrame, kind: str) -> DataFrame:
             words, places = np.unique(np.concatenate(hashes), return_inverse=True)
             n, own, fold = np.concatenate(sizes), pa.concat_arrays(ids), pa.concat_arrays(folds)
             training = np.repeat(~fold.to_numpy(zero_copy_only=False).astype(bool), n)
-            trained = np.bincount(places, training, len(words)).astype(np.int64)
+            held, trained = np.bincount(places, minlength=len(words)), np.bincount(places, training, len(words)).astype(np.int64)
+            rank = np.empty(len(words), np.int64)
+            rank[by_count(held)] = np.arange(len(words))
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own, fold)]
-            blobs = [pa.array([squeeze(x)], pa.binary()) for x in (n, np.diff(words, prepend=0), trained, places)]
+            blobs = [pa.array([squeeze(x)], pa.binary()) for x in (n, np.diff(words, prepend=0), held, trained, rank[places])]
             longs = [pa.array([x], pa.int64()) for x in (len(places) + 2 * len(n), len(n) - fold.true_count)]
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | nth], pa.int64()), *lists, *blobs, *longs], names=names)
 
@@ -91,6 +93,11 @@ def coded(docs: DataFrame, kind: str) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, CODED.format(kind))
 
 
+def by_count(n: np.ndarray) -> np.ndarray:
+    """Places of the largest counts first; frequent words so have small ranks, which take fewer bytes."""
+    return np.argsort(-n, kind="stable")
+
+
 #: What goes between chunks and blocks: packed columns.
 PARCEL = "dest long, source long, a binary, b binary, c binary, d binary, total long, kinds long"
 NAMES = [x.split()[0] for x in PARCEL.split(", ")]
@@ -172,6 +179,14 @@ class Trie:
         return np.where(found, self.words.values[at], ABSENT).astype(np.int64) if len(self.words.values) else np.full(len(w), ABSENT, np.int64)
 
 
+def alone(pair: np.ndarray, word: np.ndarray, n: np.ndarray, kinds: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the answer to a chunk's entries and contexts would be if no other chunk had them; answers tell what differs."""
+    whole = np.bincount(pair, n, pairs).astype(np.int64)
+    left = quantise(np.clip(DISCOUNT * np.bincount(pair, kinds, pairs) / np.maximum(whole, 1), 1e-7, 1)).astype(np.int64)
+    level = quantise(np.maximum((n - DISCOUNT) / np.maximum(whole[pair], 1), 2e-7)).astype(np.int64)
+    return np.where((n > 0) & (word != OWN), level, ABSENT), np.where(whole > 0, left, 0), whole
+
+
 class Chunk:
     """A row of ``coded``, and its trigrams: those of a text are its tokens, its end, and what follows the end."""
 
@@ -180,7 +195,7 @@ class Chunk:
         numbers, counts = ([unsqueeze(r[c]) for r in answers] for c in "ab")
         self.number = np.concatenate([[START, END, AFTER], *numbers]).astype(np.int64)
         self.count = np.concatenate([np.zeros(MARKS, np.int64), *counts])
-        self.sizes, ids = unsqueeze(row["sizes"]), unsqueeze(row["ids"])
+        self.sizes, ids = unsqueeze(row["sizes"]), by_count(unsqueeze(row["held"]))[unsqueeze(row["ids"])]
         n = len(self.sizes)
         self.at = np.concatenate(([0], np.cumsum(self.sizes + 2)))  # trigrams before each text
         s = np.full(len(ids) + 4 * n, START, np.int64)
@@ -214,10 +229,11 @@ class Chunk:
         entry, self.to_entry = np.unique(position[self.context[self.sent]] * max(1, len(known)) + rank, return_inverse=True)
         self.entry_pair, self.entry_word = entry // max(1, len(known)), known[entry % max(1, len(known))]
         self.entry_cuts = np.searchsorted(self.entry_pair, self.pair_cuts)
+        self.entry_n = np.bincount(self.to_entry, self.n[self.sent], len(self.entry_pair)).astype(np.int64)
+        self.entry_kinds = np.bincount(self.to_entry, self.n[self.sent] > 0, len(self.entry_pair)).astype(np.int64)
 
     def parcels(self, chunk: int) -> pa.RecordBatch:
-        n = np.bincount(self.to_entry, self.n[self.sent], len(self.entry_pair)).astype(np.int64)
-        kinds = np.bincount(self.to_entry, self.n[self.sent] > 0, len(self.entry_pair)).astype(np.int64)
+        n, kinds = self.entry_n, self.entry_kinds
         u, v = self.number[self.pu[self.pairs]], self.number[self.pv[self.pairs]]
         follow = np.bincount(self.entry_pair, minlength=len(u))
         rows = []
@@ -247,12 +263,13 @@ class Chunk:
         position[pairs] = places
         mine = np.flatnonzero(self.own_pair[self.context])
         level[mine] = trie.levels(position[self.context[mine]], self.kw[mine])
-        entries = np.full(len(self.entry_pair), ABSENT, np.int64)
+        entries, own_left, own_whole = alone(self.entry_pair, self.entry_word, self.entry_n, self.entry_kinds, len(self.pairs))
         for r in answers:
-            b = r["source"]
-            p = self.pairs[self.pair_cuts[b] : self.pair_cuts[b + 1]]
-            entries[self.entry_cuts[b] : self.entry_cuts[b + 1]] = unsqueeze(r["a"])
-            left[p], whole[p] = unsqueeze(r["b"]), unsqueeze(r["c"])
+            p, e = (slice(x[r["source"]], x[r["source"] + 1]) for x in (self.pair_cuts, self.entry_cuts))
+            entries[e] ^= unsqueeze(r["a"])
+            own_left[p] ^= unsqueeze(r["b"])
+            own_whole[p] += unsqueeze(r["c"])
+        left[self.pairs], whole[self.pairs] = own_left, own_whole
         level[self.sent] = entries[self.to_entry]
         # Words that only this chunk has, after shared contexts.
         single = self.sent[self.own_word[self.sent] & (self.n[self.sent] > 0)]
@@ -266,7 +283,7 @@ def trigram_parcels(seen: DataFrame, of_words: DataFrame, blocks: int) -> DataFr
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.Table.from_batches([Chunk(r, right.to_pylist(), blocks).parcels(r["chunk"]) for r in left.to_pylist()], schema=parcels([]).schema)
 
-    chunks = seen.select("chunk", "held_out", "sizes", "ids")
+    chunks = seen.select("chunk", "held_out", "sizes", "held", "ids")
     return chunks.groupBy("chunk").cogroup(of_words.groupBy("dest")).applyInArrow(run, PARCEL)
 
 
@@ -284,7 +301,7 @@ def answer_trigrams(sent: DataFrame) -> DataFrame:
             follow.append(f)
             ws.append(unsqueeze(r["b"]))
             ns.append(unsqueeze(r["c"]))
-            kinds = np.zeros(len(ws[-1]), np.int64)
+            kinds = (ns[-1] > 0).astype(np.int64)
             kinds[ws[-1] == OWN] = unsqueeze(r["d"])
             more.append(kinds)
         pair_ends, entry_ends = np.cumsum([len(x) for x in us]), np.cumsum([len(x) for x in ws])
@@ -302,9 +319,10 @@ def answer_trigrams(sent: DataFrame) -> DataFrame:
         level = np.full(len(w), ABSENT, np.int64)
         level[named] = trie.levels(at[key // len(known)], key % len(known))[back]
         out = []
-        for r, p, e, np_, ne in zip(rows, pair_ends.tolist(), entry_ends.tolist(), map(len, us), map(len, ws), strict=True):
-            own = place[p - np_ : p]
-            out.append((r["source"], block, squeeze(level[e - ne : e]), squeeze(left[own]), squeeze(whole[own])))
+        for r, p, e, f, word, n, kinds in zip(rows, pair_ends.tolist(), entry_ends.tolist(), follow, ws, ns, more, strict=True):
+            own = place[p - len(f) : p]
+            by_self = alone(np.repeat(np.arange(len(f)), f), word, n, kinds, len(f))
+            out.append((r["source"], block, squeeze(level[e - len(word) : e] ^ by_self[0]), squeeze(left[own] ^ by_self[1]), squeeze(whole[own] - by_self[2])))
         return pa.Table.from_batches([parcels(out)])
 
     return sent.groupBy("dest").applyInArrow(run, PARCEL)
@@ -339,7 +357,7 @@ def assembled(seen: DataFrame, answers: DataFrame, blocks: int, total: int, kind
         columns = [left["doc_id"].combine_chunks().flatten(), left["held_out"].combine_chunks().flatten(), pa.array(n), pa.array(sums((count[w] > 0).astype(np.int64)))]
         return pa.Table.from_arrays([*columns, pa.array(np.full(len(n), total, np.int64)), pa.array(base), pa.array(sums(lm))], names=names)
 
-    chunks = seen.select("chunk", "doc_id", "held_out", "sizes", "ids")
+    chunks = seen.select("chunk", "doc_id", "held_out", "sizes", "held", "ids")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("dest")).applyInArrow(run, SCORED.format(kind))
 
 
