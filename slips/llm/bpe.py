@@ -2,10 +2,13 @@
 
 A rolling hash over the text's bytes cuts it into chunks, so a passage that many documents share falls
 into the same chunks wherever it stands. Documents that share content are dealt to the same partition,
-each distinct chunk is encoded once there, and the joins are repaired: the words on both sides of a join
-are encoded again in one window, which must agree with the chunks' own tokens at its outer words; a window
-that does not agree is widened until it does, at the most to the whole text. Tokens equal those of the
-library's encoding of the whole text.
+where each distinct chunk is encoded once, word by word, and the joins are repaired: the words on both sides of
+a join are encoded again in one window, which must agree with the chunks' own tokens at its outer words.
+A window that does not agree takes in the chunks at its sides and is encoded again, until it agrees or is the
+whole text. Tokens equal those of the library's encoding of the whole text.
+
+A worker keeps its encoder and what it last used of words, chunks and windows, by bytes, from one task to the next;
+what has been forgotten is encoded again.
 
 Null counts as the empty text, which has no tokens. Every input row gives one row, whatever its id;
 further columns are ignored; an empty table gives an empty result.
@@ -18,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,13 @@ from .texts import mix, slices, text_buffer
 
 #: Bytes that the rolling hash sees, mean and least bytes between cuts, and the most.
 SPAN, MEAN, LEAST, MOST = 16, 1024, 256, 8192
-#: Entries kept of each cache; the older half goes when it is full.
-WORDS_KEPT, CHUNKS_KEPT = 120_000, 3_000
+#: Bytes kept of words, chunks and windows in all.
+KEPT = 48 << 20
 #: Words at each end of a chunk that its join encodes again: the outer one must agree.
 EDGE = 2
 
-_GAP = re.compile(r"[ \t\n\r]+")
+#: A blank, tab or line end parts words.
+_WORD = re.compile(r"[^ \t\n\r]+")
 
 
 def default_tokenizer() -> str:
@@ -75,149 +80,179 @@ def cuts(body: np.ndarray) -> list[int]:
     return found
 
 
-@dataclass(slots=True)
-class Coded:
-    """Tokens of a stretch of text: how many, their ids and their strings, joined by blanks."""
-
-    n: int
-    ids: str
-    tokens: str
-
-
-EMPTY = Coded(0, "", "")
-
-
 @dataclass(slots=True)
 class Chunk:
-    """A chunk's first and last words with the text around them, and its tokens in between.
+    """Places of a chunk's inner stretch, between its first and last words, its tokens, and those of the words at its sides.
 
-    ``inner`` is None for a chunk of too few words, whose ``head`` is then all its text.
+    ``ids`` is None for a chunk of too few words to have an inner stretch.
     """
 
-    head: str
-    inner: Coded | None
-    tail: str
-    head_outer: Coded
-    tail_outer: Coded
+    start: int = 0
+    end: int = 0
+    ids: np.ndarray | None = None
+    before: np.ndarray | None = None
+    after: np.ndarray | None = None
 
 
 class Cache(dict):
-    """A dict that forgets its older half when full."""
+    """Values by text, in two generations of half of ``most`` bytes each: what the younger has not used again goes with the older."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.most, self.used, self.older = most, 0, {}
+
+    def put(self, text: str, value, nbytes: int) -> None:
+        self[text] = value
+        self.used += nbytes + 250
+
+    def missing(self, texts: set[str], nbytes) -> list[str]:
+        """Those of the texts that are not known; known ones move to the younger generation."""
+        new = []
+        for t in texts:
+            if t not in self:
+                if t in self.older:
+                    self.put(t, self.older[t], nbytes(t, self.older[t]))
+                else:
+                    new.append(t)
+        return new
 
     def room(self) -> None:
-        if len(self) > self.most:
-            for key in list(self)[: len(self) // 2]:
-                del self[key]
+        if self.used > self.most // 2:
+            self.older = dict(self)
+            self.clear()
+            self.used = 0
+
+
+def word_bytes(word: str, ids: bytes | np.ndarray) -> int:
+    return len(word) + (len(ids) if isinstance(ids, bytes) else ids.nbytes)
+
+
+def chunk_bytes(text: str, chunk: Chunk) -> int:
+    return len(text) + 600 + (0 if chunk.ids is None else chunk.ids.nbytes)
 
 
-def join(parts: list[Coded]) -> Coded:
-    parts = [p for p in parts if p.n]
-    return Coded(sum(p.n for p in parts), " ".join([p.ids for p in parts]), " ".join([p.tokens for p in parts]))
+def window_bytes(text: str, ids: np.ndarray) -> int:
+    return len(text) + 100 + ids.nbytes
 
 
 class Encoder:
-    """Encodes texts as the library does, reusing chunks and words seen before."""
+    """Encodes texts as the library does, reusing chunks and windows seen before."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.names = [self.library.id_to_token(i) or "" for i in range(size)]
-        self.words, self.chunks, self.windows = Cache(WORDS_KEPT), Cache(CHUNKS_KEPT), Cache(CHUNKS_KEPT)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.names, self.digits = [""] * (1 + max(vocabulary.values(), default=0)), [str(i) for i in range(1 + max(vocabulary.values(), default=0))]
+        for token, i in vocabulary.items():
+            self.names[i] = token
+        self.words, self.chunks, self.windows = Cache(kept // 2), Cache(kept // 4), Cache(kept // 4)
         self.encoded = self.reused = self.widened = 0
 
-    def whole(self, texts: list[str]) -> list[Coded]:
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        names, out = self.names, []
-        for e in found:
-            ids = e.ids
-            out.append(Coded(len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])))
-        return out
+        return [np.array(e.ids, np.int32) for e in found]
+
+    def decode(self, ids: list[int]) -> str:
+        """The library's decoding; without a decoder of its own it joins tokens by blanks."""
+        if self.library.decoder is None:
+            return " ".join(map(self.names.__getitem__, ids))
+        return self.library.decode(ids, skip_special_tokens=False)
 
     def learn_words(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        for w, c in zip(new, self.whole(new), strict=True):
-            self.words[w] = c
+        new = self.words.missing(words, word_bytes)
+        for w, ids in zip(new, self.whole(new), strict=True):
+            self.words.put(w, ids.tobytes(), word_bytes(w, ids))
 
     def learn_chunks(self, texts: set[str]) -> None:
-        """Encode new chunks, word by word between the joins; a blank, tab or line end parts words."""
-        new = [t for t in texts if t not in self.chunks]
+        """Encode new chunks, word by word between the joins."""
+        new = self.chunks.missing(texts, chunk_bytes)
         self.encoded += len(new)
-        split = [[w for w in _GAP.split(t) if w] for t in new]
+        split = [_WORD.findall(t) for t in new]
         self.learn_words({w for ws in split for w in ws})
-        words = self.words
-        for text, ws in zip(new, split, strict=True):
-            if len(ws) <= 2 * EDGE + 1:
-                self.chunks[text] = Chunk(text, None, "", EMPTY, EMPTY)
-                continue
-            head, tail = self.edge(text, ws[:EDGE]), self.edge(text[::-1], [w[::-1] for w in ws[-EDGE:][::-1]])[::-1]
-            self.chunks[text] = Chunk(head, join([words[w] for w in ws[EDGE:-EDGE]]), tail, words[ws[EDGE - 1]], words[ws[-EDGE]])
-
-    @staticmethod
-    def edge(text: str, first: list[str]) -> str:
-        """The text up to the end of its first words."""
-        at = 0
-        for w in first:
-            at = text.index(w, at) + len(w)
-        return text[:at]
-
-    def encode(self, bodies: list[bytes]) -> list[Coded]:
+        words, coded = self.words, lambda own: np.frombuffer(b"".join(own), np.int32)
+        for t, ws in zip(new, split, strict=True):
+            c = Chunk()
+            if len(ws) > 2 * EDGE + 1:
+                start, end = 0, len(t)
+                for w in ws[:EDGE]:
+                    start = t.index(w, start) + len(w)
+                for w in ws[: -EDGE - 1 : -1]:
+                    end = t.rindex(w, 0, end)
+                c = Chunk(start, end, coded([words[w] for w in ws[EDGE:-EDGE]]), coded([words[ws[EDGE - 1]]]), coded([words[ws[-EDGE]]]))
+            self.chunks.put(t, c, chunk_bytes(t, c))
+
+    def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
         """Tokens of whole texts."""
-        texts = []
+        for known in (self.words, self.chunks, self.windows):
+            known.room()
+        split = []
         for body in bodies:
             last, own = 0, []
             for end in cuts(np.frombuffer(body, np.uint8)):
                 own.append(body[last:end].decode())
                 last = end
-            texts.append(own)
-        for cache in (self.words, self.chunks, self.windows):
-            cache.room()
-        self.reused += sum(map(len, texts))
-        self.learn_chunks({t for own in texts for t in own})
-        # Each text is windows and inner stretches in turn; a window spans a join, the start or the end.
-        plans = [self.plan([self.chunks[t] for t in own]) for own in texts]
-        new = [w for w in {p[0] for plan in plans for p in plan if isinstance(p, tuple)} if w not in self.windows]
-        for w, c in zip(new, self.whole(new), strict=True):
-            self.windows[w] = c
-        return [self.assemble(plan, body) for plan, body in zip(plans, bodies, strict=True)]
-
-    @staticmethod
-    def plan(chunks: list[Chunk]) -> list:
-        plan, open_text, left = [], "", EMPTY
-        for c in chunks:
-            if c.inner is None:
-                open_text += c.head
+            split.append(own)
+        self.reused += sum(map(len, split))
+        self.learn_chunks({t for own in split for t in own})
+        plans = [self.plan(own) for own in split]
+        new = self.windows.missing({w for text, inner in plans for w in gaps(text, inner)}, window_bytes)
+        for w, ids in zip(new, self.whole(new), strict=True):
+            self.windows.put(w, ids, window_bytes(w, ids))
+        return [self.assemble(text, inner) for text, inner in plans]
+
+    def plan(self, own: list[str]) -> tuple[str, list[tuple[int, int, Chunk]]]:
+        """A text and its inner stretches: from, to and chunk."""
+        at, inner = 0, []
+        for t in own:
+            c = self.chunks[t]
+            if c.ids is not None:
+                inner.append((at + c.start, at + c.end, c))
+            at += len(t)
+        return "".join(own), inner
+
+    def assemble(self, text: str, inner: list[tuple[int, int, Chunk]]) -> np.ndarray:
+        """Tokens of windows and inner stretches in turn; a window spans a join, the start or the end."""
+        windows = [self.windows[w] for w in gaps(text, inner)]
+        k = 0
+        while k < len(windows):
+            left = inner[k - 1][2].after if k else NONE
+            right = inner[k][2].before if k < len(inner) else NONE
+            if agrees(windows[k], left, right):
+                k += 1
                 continue
-            plan += [(open_text + c.head, left, c.head_outer), c.inner]
-            open_text, left = c.tail, c.tail_outer
-        return [*plan, (open_text, left, EMPTY)]
-
-    def assemble(self, plan: list, body: bytes) -> Coded:
-        parts = []
-        for p in plan:
-            if isinstance(p, tuple):
-                window, left, right = self.windows[p[0]], p[1], p[2]
-                if not agrees(window, left, right):
-                    self.widened += 1
-                    return self.whole([body.decode()])[0]
-                p = window
-            parts.append(p)
-        return join(parts)
-
-
-def agrees(window: Coded, left: Coded, right: Coded) -> bool:
+            self.widened += 1
+            low, high = max(0, k - 1), min(len(inner), k + 1)
+            inner = inner[:low] + inner[high:]
+            windows[low : high + 1] = self.whole([gaps(text, inner)[low]])
+            k = low
+        parts = [windows[0]]
+        for (_, _, c), w in zip(inner, windows[1:], strict=True):
+            parts += [c.ids, w]
+        return np.concatenate(parts)
+
+
+NONE = np.zeros(0, np.int32)
+
+
+def gaps(text: str, inner: list[tuple[int, int, Chunk]]) -> list[str]:
+    """What stands between inner stretches, before the first and after the last."""
+    return [text[a:b] for a, b in zip([0, *(x[1] for x in inner)], [*(x[0] for x in inner), len(text)], strict=True)]
+
+
+def agrees(window: np.ndarray, left: np.ndarray, right: np.ndarray) -> bool:
     """Whether the window's outer tokens are those that the chunks have there."""
-    starts = not left.n or window.ids == left.ids or window.ids.startswith(left.ids + " ")
-    ends = not right.n or window.ids == right.ids or window.ids.endswith(" " + right.ids)
-    return starts and ends and window.n >= max(left.n, right.n)
+    n = len(window)
+    return n >= len(left) + len(right) and np.array_equal(window[: len(left)], left) and np.array_equal(window[n - len(right) :], right)
+
+
+@cache
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder."""
+    return Encoder(path)
 
 
 FIELDS = (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
@@ -243,20 +278,20 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             body, at = text_buffer(batch.column(1))
             for low, high in slices(at):
-                coded = encoder.encode([body[a:b].tobytes() for a, b in zip(at[low:high], at[low + 1 : high + 1], strict=True)])
+                coded = [c.tolist() for c in encoder.encode([body[a:b].tobytes() for a, b in zip(at[low:high], at[low + 1 : high + 1], strict=True)])]
                 columns = [
                     batch.column(0).slice(low, high - low),
-                    pa.array([c.n for c in coded], pa.int64()),
-                    pa.array([sha(c.ids) for c in coded]),
-                    pa.array([sha(c.tokens) for c in coded]),
+                    pa.array([len(ids) for ids in coded], pa.int64()),
+                    pa.array([sha(" ".join(map(encoder.digits.__getitem__, ids))) for ids in coded], pa.string()),
+                    pa.array([sha(encoder.decode(ids)) for ids in coded], pa.string()),
                 ]
                 if keep_ids:
-                    columns.append(pa.array([list(map(int, c.ids.split())) for c in coded], pa.list_(pa.int32())))
+                    columns.append(pa.array(coded, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return narrow.mapInArrow(run, schema)

@@ -54,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_ZSTD = pa.Codec("zstd", 1)
+_ZSTD = pa.Codec("zstd", 6)
 
 
 def squeeze(x: np.ndarray) -> bytes:

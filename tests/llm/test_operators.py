@@ -142,6 +142,36 @@ def test_pii_method_adds_spans(spark):
     assert got[102].found == []
 
 
+def test_pii_precision_and_recall_on_planted_spans(spark):
+    """Beyond the base: secrets, masked addresses, phones without a country and names are found; look-alikes are not."""
+    r = np.random.default_rng(11)
+    hexes = lambda n: "".join(r.choice([*"0123456789abcdef"], n))
+    mixed = lambda n: "".join(r.choice([*"abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"], n - 2)) + "7q"
+    planted, clean = [], []
+    for k in range(40):
+        planted += [
+            (f'the ship sailed token = "{(x := hexes(40))}" at dawn', x), (f"export API_KEY={(x := 'AKIA' + mixed(16).upper())} now", x), (f"password: {(x := mixed(12))} was set", x),
+            (f"reach us by mail at {(x := f'ann{k} (at) site{k}.org')} soon", x), (f"phone call (212) 555-{1000 + k} today", f"(212) 555-{1000 + k}"), (f"signed by {(x := pii.FIRST_NAMES[k] + ' Walker')} of this town", x),
+        ]
+        clean += [f"sha256: {hexes(64)} of the file", f"commit {hexes(40)} fixes it", "the key: remember everything about it", f"order 4{k}7 of the old ship", "The The Of Of gulls cried", f"version 1.{k}.3 build 20{k}", "a token of thanks and a secret garden"]
+    base = [f"mail bob{k}@site{k}.com or host 10.0.{k}.7, phone +1 212 555 {1000 + k}" for k in range(60)]
+    texts = [t for t, _ in planted] + clean + base
+    got = by_id(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0])
+    hit = [any(t[x.first : x.end] == want and not x.base for x in got[i].found) for i, (t, want) in enumerate(planted)]
+    false = [t for i, t in enumerate(clean, len(planted)) if got[i].found]
+    more = sum(not x.base for i in range(len(texts)) for x in got[i].found)
+    assert sum(hit) >= 0.9 * len(planted), [planted[k][0] for k in range(6) if not hit[k]]
+    assert sum(hit) >= 0.9 * more and len(false) <= 0.1 * len(clean), false[:10]
+
+
+def test_pii_many_spans_in_one_text(spark):
+    text = " ".join(f"a{k}@b.com (212) 555-{1000 + k} +1 212 555 {1000 + k}" for k in range(3000))
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].first().found
+    assert [f"{pii.KINDS[s.kind]}:{s.first}:{s.end}" for s in got if s.base] == base_spans(text)
+    spans = sorted((s.first, s.end) for s in got)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_em_finds_the_unreliable_labeler():
     counts = {"0222222": 80, "0222202": 20, "0000022": 70, "0000000": 30}
     belief, right = pii.reliabilities(counts)
@@ -237,8 +267,9 @@ def test_bpe_random_texts():
     r = np.random.default_rng(5)
     alphabet = [*"abcDEF .,'\n\t09", "é", "é", "́", "ẞ", "İ", "Σ", " ", " ", "\x1c", "日本", "🙂", "<|endoftext|>", "  ", "don't", "\r\n", "<|start"]
     texts = ["".join(r.choice(alphabet, size=int(n))) for n in r.integers(0, 3000, 60)] + ["x" * 30_000, "日" * 9_000, "ab " * 9_000]
-    for t, c in zip(texts, ENCODER.encode([t.encode() for t in texts]), strict=True):
-        assert (c.n, hashlib.sha256(c.ids.encode()).hexdigest(), hashlib.sha256(c.tokens.encode()).hexdigest()) == library(t)
+    for t, ids in zip(texts, ENCODER.encode([t.encode() for t in texts]), strict=True):
+        own = ids.tolist()
+        assert (len(own), hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(ENCODER.decode(own).encode()).hexdigest()) == library(t)
 
 
 def test_bpe_reuses_and_repairs():
@@ -247,14 +278,24 @@ def test_bpe_reuses_and_repairs():
     e = bpe.Encoder(bpe.default_tokenizer())
     e.encode([f"intro {i} {passage} end {i}".encode() for i in range(20)])
     assert e.encoded < e.reused / 3
-    e.windows.clear()
-    e.words.clear()
-    for key, chunk in list(e.chunks.items()):  # a chunk whose outer words were encoded wrongly must be noticed
-        if chunk.inner is not None:
-            chunk.head_outer = bpe.Coded(1, "1", "x")
     text = f"intro 3 {passage} end 3"
-    got = e.encode([text.encode()])[0]
-    assert e.widened == 1 and got.n == library(text)[0]
+    for wrong in (1, 3, 10_000):  # chunks whose outer words were encoded wrongly must be noticed, and windows widened past them
+        e.windows = bpe.Cache(e.windows.most)
+        _, inner = e.plan([body.decode() for body in np.split(np.frombuffer(text.encode(), np.uint8), bpe.cuts(np.frombuffer(text.encode(), np.uint8))[:-1]) for body in [body.tobytes()]])
+        for _, _, chunk in inner[1 : 1 + wrong]:
+            chunk.before = np.array([1], np.int32)
+        before = e.widened
+        got = e.encode([text.encode()])[0]
+        assert e.widened > before and got.tolist() == e.library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_cache_is_bounded_by_bytes():
+    r = np.random.default_rng(9)
+    e = bpe.Encoder(bpe.default_tokenizer(), kept=200_000)
+    for k in range(30):
+        text = " ".join("".join(r.choice([*"abcdefgh"], int(n))) for n in r.integers(2, 9, 800)) + f" {k}"
+        assert e.encode([text.encode()])[0].tolist() == e.library.encode(text, add_special_tokens=False).ids
+        assert max(x.used for x in (e.words, e.chunks, e.windows)) < 400_000  # half of what is kept, and one text
 
 
 # --- Decontamination ----------------------------------------------------------------------------------
