@@ -6,7 +6,8 @@ open line, and takes the lines it uses. The kinds come from ``items.line_feature
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice, takewhile
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -70,6 +71,12 @@ class Strip:
             "unit_price": unit, "sku": None if sku is None else self.lines[sku]["text"],
         })
 
+    def beyond(self, i: int, way: int, lets_by: Callable[[dict], bool], most: int) -> int | None:
+        """The first line after (``way`` 1) or before (-1) line ``i``, within ``most`` lines, that is not let by; none past a taken line."""
+        near = list(islice(range(i + way, self.n if way > 0 else self.start - 1, way), most))
+        passed = sum(1 for _ in takewhile(lambda k: self.open[k] and lets_by(self.lines[k]), near))
+        return near[passed] if passed < len(near) and self.open[near[passed]] else None
+
     def zone(self) -> Iterator[int]:
         return (i for i in range(self.start, self.end) if self.open[i])
 
@@ -139,23 +146,21 @@ def supermarket(s: Strip, stated: int | None) -> list[dict]:
     return s.done(stated, lambda x: 5 * (not x["sku"]) + 3 * (len(x["name"]) <= 4))
 
 
+#: Lines before the mode or currency line that may name an item already.
+NAMES_ABOVE = 7
+
+
 def pharmacy_zone(s: Strip) -> None:
-    """From the mode or currency line, walked back over names that stand before it, to the first end after it."""
-    for i, x in enumerate(s.lines):
-        if s.start == 0 and x["start"]:
-            s.take(i)
-            s.start = i
-            for back in range(i - 1, -1, -1):
-                b = s.lines[back]
-                if b["head"] or b["separator"]:
-                    break
-                if b["name"]:
-                    s.start = back
-                if i - back > 6:
-                    break
-        if 0 < s.start < i and x["end"]:
-            s.end = i
-            break
+    """Items begin with the first name in a window above the mode or currency line, under the window's last header or
+    separator, or else with that line; they end with the next end line. A zone from line 0 on counts as none."""
+    for mark in (i for i in range(s.n) if s.lines[i]["start"]):
+        window = range(max(0, mark - NAMES_ABOVE), mark)
+        under = max((i for i in window if s.lines[i]["head"] or s.lines[i]["separator"]), default=window.start - 1)
+        s.take(mark)
+        s.start = min((i for i in window if i > under and s.lines[i]["name"]), default=mark)
+        if s.start > 0:
+            s.end = first_end(s, max(mark, s.start + 1))
+            return
 
 
 def is_filler(x: dict) -> bool:
@@ -185,18 +190,11 @@ def barcode_then_qty(s: Strip, j: int) -> tuple[int | None, int | None]:
 
 def named_before(s: Strip, i: int) -> bool:
     """Whether a name with its barcode stands within three lines before a price, which is then that name's."""
-    for k in range(i - 1, i - 4, -1):
-        if k < s.start or not s.open[k]:
-            return False
-        x = s.lines[k]
-        if x["barcode"]:
-            m = k - 1
-            while m >= s.start and not s.open[m]:
-                m -= 1
-            return m >= s.start and s.lines[m]["name"]
-        if x["qty"] is None and not x["junk"] and not x["separator"]:
-            return False
-    return False
+    b = s.beyond(i, -1, lambda x: not x["barcode"] and (x["qty"] is not None or x["junk"] or x["separator"]), 3)
+    if b is None or not s.lines[b]["barcode"]:
+        return False
+    above = [k for k in range(s.start, b) if s.open[k]]
+    return bool(above) and s.lines[above[-1]]["name"]
 
 
 def price_above(s: Strip, i: int) -> bool:
@@ -260,36 +258,26 @@ def pharmacy(s: Strip, stated: int | None) -> list[dict]:
 
 
 def coded_name(s: Strip, i: int) -> None:
-    """An item whose barcode follows its name, past filler, and whose price follows the barcode."""
-    L, between, q, b = s.lines, [], None, None
-    for k in range(i + 1, min(i + 6, s.n)):
-        if not s.open[k]:
-            break
-        if L[k]["barcode"]:
-            b = k
-            break
-        if L[k]["qty"] is not None:
-            q = k
-        elif not is_filler(L[k]):
-            break
-        between.append(k)
-    if b is None:
+    """An item whose barcode follows its name, past filler or a quantity, and whose price follows the barcode."""
+    L = s.lines
+    b = s.beyond(i, 1, lambda x: not x["barcode"] and (x["qty"] is not None or is_filler(x)), 5)
+    if b is None or not L[b]["barcode"]:
         return
-    qty, unit = of(s, q)
-    k = b + 1
-    price = L[k]["price"] if k < s.n and s.open[k] else None
-    of_total = price is not None and k + 1 < s.n and L[k + 1]["total"]
-    if of_total and q is not None:
-        s.add(i, L[i]["item"], round(qty * unit, 2), b, qty, unit)
-        s.take(i, b, *between)
-    elif price and s.priced(k):
-        s.add(i, L[i]["item"], price, b, qty, unit)
-        s.take(i, b, k, *between)
-    elif price is None and between:
-        saved = next((x["discount"] for x in L if (x["discount"] or 0) > 0), None)
-        if saved:
-            s.add(i, L[i]["item"], saved, b)
+    between = range(i + 1, b)
+    q = max((k for k in between if L[k]["qty"] is not None), default=None)
+    after = L[b + 1] if b + 1 < s.n and s.open[b + 1] else None
+    price = after and after["price"]
+    if price is None:  # a discount may stand in for the price, but only of a name that is not followed by its barcode at once
+        saved = [x["discount"] for x in L if (x["discount"] or 0) > 0]
+        if between and saved:
+            s.add(i, L[i]["item"], saved[0], b)
             s.take(i, b, *between)
+    elif q is not None and b + 2 < s.n and L[b + 2]["total"]:  # the price is the total's
+        s.add(i, L[i]["item"], round(L[q]["qty"] * L[q]["unit"], 2), b, *of(s, q))
+        s.take(i, b, *between)
+    elif s.priced(b + 1):
+        s.add(i, L[i]["item"], price, b, *of(s, q))
+        s.take(i, b, b + 1, *between)
 
 
 def orphan(s: Strip) -> None:
