@@ -81,11 +81,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         found.append(hits(split, index))
     per_doc = (
         reduce(DataFrame.unionByName, found)
-        .groupBy("h")
+        .groupBy(F.col("id").alias("of"), F.col("h").alias("of_h"))
         .agg(F.collect_set(F.struct("first", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        .select("h", covered(F.col("spans")).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
+        .select("of", "of_h", covered(F.col("spans")).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
     )
-    counted = split.select("id", "h", F.size("w").cast("long").alias("n_words")).join(per_doc, "h", "left")
+    counted = split.select("id", "h", F.size("w").cast("long").alias("n_words"))
+    counted = counted.join(per_doc, (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return counted.select(

@@ -1,8 +1,9 @@
 """License detection by ordered signature rules.
 
 Texts are folded to words (A-Z lower-cased, everything but letters, digits and non-ASCII separates).
-Rules are word regexes, generated from families of license names and the phrasings around them. A rule
-is tried only where a part that each of its matches has occurs. Detections are resolved by priority: one whose interval lies
+Rules are word regexes: signatures written out by hand for the wording of licenses, notices, deeds and addresses, and
+rules generated from families of license names and the phrasings around them. A rule is tried only where a part that
+each of its matches has occurs. Detections are resolved by priority: one whose interval lies
 within the interval of a detection of the same or higher rank is suppressed.
 
 Null and empty texts have no words and no labels; ids and further columns pass through untouched, so
@@ -110,6 +111,149 @@ PHRASINGS = (
     (r"(?:the )?{0} licen[sc]e(?: agreement)?(?: (?:version|v) [0-9](?: [0-9])?)?", 0.8),
 )
 
+# Signatures of the licenses' own wording: label, keyword, word regex, rank, confidence. Ranks of texts that several licenses
+# share lie above (lower priority) those of what only one has.
+SIGNATURES = (
+    # MIT and its kin
+    ("mit", "any person obtaining", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 2, 0.95),
+    ("mit", "to deal in the software", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", 2, 0.95),
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 2, 0.85),
+    ("mit", "the software is provided", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 4, 0.6),
+    ("mit", "opensource org", r"opensource org licenses mit(?: license)?", 2, 0.9),
+    ("mit", "expat", r"expat licen[sc]e", 2, 0.9),
+    ("mit-0", "mit 0", r"spdx licen[sc]e identifier mit 0", 0, 1.0),
+    ("json", "for good not evil", r"the software shall be used for good not evil", 0, 1.0),
+    ("x11", "x consortium", r"the name of the x consortium shall not be used in advertising", 1, 0.95),
+    ("x11", "x window system", r"x window system is a trademark of x consortium", 1, 0.9),
+    ("hpnd", "fee is hereby granted", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted", 2, 0.85),
+    ("isc", "with or without fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 1, 0.95),
+    ("isc", "the author disclaims", r"the software is provided as is and the author disclaims all warranties", 3, 0.8),
+    ("isc", "opensource org", r"opensource org licenses isc", 2, 0.9),
+    ("0bsd", "0bsd", r"0bsd", 1, 0.9),
+    ("0bsd", "zero clause", r"(?:bsd zero clause|zero clause bsd)(?: licen[sc]e)?", 1, 0.95),
+    ("curl", "curl", r"curl licen[sc]e", 2, 0.85),
+    ("ntp", "ntp", r"ntp licen[sc]e", 2, 0.85),
+    ("icu", "unicode inc", r"unicode inc licen[sc]e agreement data files and software", 1, 0.95),
+    ("ncsa", "illinois", r"university of illinois(?: ncsa)? open source licen[sc]e", 1, 0.95),
+    ("ncsa", "ncsa", r"ncsa open source licen[sc]e", 1, 0.95),
+    ("w3c", "w3c", r"w3c software (?:notice|and document) (?:and |notice and )?licen[sc]e", 1, 0.95),
+    # BSD
+    ("bsd-2-clause", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 3, 0.9),
+    ("bsd-3-clause", "endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission", 2, 0.95),
+    ("bsd-3-clause", "neither the name", r"neither the name of (?:the )?(?:copyright holder|author|university|regents) nor the names of (?:its|his|their) contributors", 2, 0.95),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1, 0.95),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 4, 0.8),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice", 4, 0.8),
+    ("bsd", "this software is provided by", r"this software is provided by the (?:copyright holders?|authors?|regents) and contributors as is", 4, 0.7),
+    ("bsd-3-clause-clear", "patent rights are granted", r"no express or implied licen[sc]es to any partys? patent rights are granted by this licen[sc]e", 1, 0.9),
+    ("bsd-3-clause", "opensource org", r"opensource org licenses bsd 3 clause", 1, 0.95),
+    ("bsd-2-clause", "opensource org", r"opensource org licenses bsd 2 clause", 1, 0.95),
+    ("openssl", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit", 0, 0.95),
+    ("ssleay", "eric young", r"this product includes cryptographic software written by eric young", 0, 0.95),
+    ("zlib", "express or implied warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 2, 0.95),
+    ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented", 2, 0.9),
+    ("libpng", "png reference library", r"the png reference library is supplied as is", 1, 0.95),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return", 0, 1.0),
+    ("beerware", "beer ware", r"the beer ware licen[sc]e", 0, 1.0),
+    # Apache
+    ("apache-2", "apache org", r"apache org licenses license 2 0(?: txt| html)?", 1, 0.95),
+    ("apache-2", "except in compliance", r"you may not use this file except in compliance with the licen[sc]e", 3, 0.8),
+    ("apache-2", "january 2004", r"apache licen[sc]e version 2 0 january 2004", 1, 1.0),
+    ("apache-2", "limitations under the license", r"see the licen[sc]e for the specific language governing permissions and limitations under the license", 3, 0.8),
+    ("apache-2-llvm", "llvm", r"apache 2 0 with llvm exceptions?", 0, 1.0),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation", 2, 0.85),
+    # GNU
+    ("gpl", "free software foundation", r"under the terms of the gnu general public licen[sc]e as published by the free software foundation", 3, 0.95),
+    ("gpl-2", "either version 2", r"as published by the free software foundation either version 2 of the licen[sc]e or at your option any later version", 1, 0.95),
+    ("gpl-3", "either version 3", r"as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version", 2, 0.9),
+    ("gpl-2-only", "version 2 only", r"gnu general public licen[sc]e version 2 only", 0, 1.0),
+    ("gpl-3-only", "version 3 only", r"gnu general public licen[sc]e version 3 only", 0, 1.0),
+    ("gpl-2-only", "gpl 2 0 only", r"(?:spdx licen[sc]e identifier )?gpl 2 0 only", 0, 1.0),
+    ("gpl-2-or-later", "gpl 2 0 or later", r"(?:spdx licen[sc]e identifier )?gpl 2 0 or later", 0, 1.0),
+    ("gpl-3-only", "gpl 3 0 only", r"(?:spdx licen[sc]e identifier )?gpl 3 0 only", 0, 1.0),
+    ("gpl-3-or-later", "gpl 3 0 or later", r"(?:spdx licen[sc]e identifier )?gpl 3 0 or later", 0, 1.0),
+    ("gpl-2", "june 1991", r"gnu general public licen[sc]e version 2 june 1991", 0, 1.0),
+    ("gpl-3", "29 june 2007", r"gnu general public licen[sc]e version 3 29 june 2007", 0, 1.0),
+    ("lgpl", "gnu lesser", r"under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation", 1, 0.95),
+    ("lgpl-2.1", "february 1999", r"gnu lesser general public licen[sc]e version 2 1 february 1999", 0, 1.0),
+    ("lgpl-2", "june 1991", r"gnu library general public licen[sc]e version 2 june 1991", 0, 1.0),
+    ("lgpl-3", "29 june 2007", r"gnu lesser general public licen[sc]e version 3 29 june 2007", 0, 1.0),
+    ("lgpl-2.1-only", "lgpl 2 1 only", r"(?:spdx licen[sc]e identifier )?lgpl 2 1 only", 0, 1.0),
+    ("lgpl-2.1-or-later", "lgpl 2 1 or later", r"(?:spdx licen[sc]e identifier )?lgpl 2 1 or later", 0, 1.0),
+    ("lgpl-3-or-later", "lgpl 3 0 or later", r"(?:spdx licen[sc]e identifier )?lgpl 3 0 or later", 0, 1.0),
+    ("agpl", "gnu affero", r"under the terms of the gnu affero general public licen[sc]e as published by the free software foundation", 1, 0.95),
+    ("agpl-3", "19 november 2007", r"gnu affero general public licen[sc]e version 3 19 november 2007", 0, 1.0),
+    ("agpl-3-only", "agpl 3 0 only", r"(?:spdx licen[sc]e identifier )?agpl 3 0 only", 0, 1.0),
+    ("agpl-3-or-later", "agpl 3 0 or later", r"(?:spdx licen[sc]e identifier )?agpl 3 0 or later", 0, 1.0),
+    ("gpl", "gnu org licenses", r"gnu org licenses gpl(?: [23] 0)?(?: html| txt)?", 3, 0.85),
+    ("lgpl", "gnu org licenses", r"gnu org licenses lgpl(?: [23] [01])?(?: html| txt)?", 3, 0.85),
+    ("agpl", "gnu org licenses", r"gnu org licenses agpl(?: 3 0)?(?: html| txt)?", 3, 0.85),
+    ("gpl-classpath", "classpath exception", r"(?:with )?(?:the )?classpath exception(?: 2 0)?", 1, 0.9),
+    ("gpl-gcc", "runtime library exception", r"gcc runtime library exception(?: 3 1| 2 0)?", 1, 0.95),
+    ("gpl-autoconf", "autoconf exception", r"autoconf exception", 1, 0.9),
+    ("gpl-font", "font exception", r"font exception 2 0", 1, 0.9),
+    ("linux-syscall", "syscall note", r"linux syscall note", 1, 0.9),
+    ("gfdl", "invariant sections", r"with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts", 1, 0.95),
+    ("gfdl", "gnu free documentation", r"under the terms of the gnu free documentation licen[sc]e", 1, 0.95),
+    # Other copyleft
+    ("mpl-2", "mozilla public", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", 0, 1.0),
+    ("mpl-2", "mozilla org", r"mozilla org mpl 2 0", 1, 0.95),
+    ("mpl-1.1", "mozilla public", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1", 0, 1.0),
+    ("epl-1", "eclipse org", r"eclipse org legal epl v10(?: html)?", 1, 0.95),
+    ("epl-2", "eclipse org", r"eclipse org legal epl 2 0", 1, 0.95),
+    ("epl", "eclipse public", r"made available under the terms of the eclipse public licen[sc]e", 3, 0.9),
+    ("cddl", "common development", r"subject to the terms of the common development and distribution licen[sc]e", 1, 0.95),
+    ("cpl", "common public", r"made available under the terms of the common public licen[sc]e v1 0", 2, 0.95),
+    ("eupl", "eupl", r"eupl(?: v? ?1 [0-2])?", 2, 0.9),
+    ("cecill", "cecill", r"cecill(?: (?:b|c|2 [01]))?(?: licen[sc]e)?", 2, 0.9),
+    ("osl", "opensource org", r"opensource org licenses osl 3 0", 1, 0.95),
+    ("artistic", "standard version", r"the package may be distributed as a standard version", 3, 0.8),
+    ("artistic", "same terms as perl", r"under the same terms as perl itself", 1, 0.95),
+    ("ms-pl", "microsoft public", r"microsoft public licen[sc]e", 1, 0.95),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[sc]e", 1, 0.95),
+    ("sspl", "server side public", r"server side public licen[sc]e", 1, 0.95),
+    ("busl", "business source", r"business source licen[sc]e(?: 1 1)?", 1, 0.95),
+    ("elastic", "elastic", r"elastic licen[sc]e(?: 2 0)?", 2, 0.85),
+    ("mulan", "mulan", r"mulan (?:permissive software licen[sc]e|psl)(?: v ?[12])?", 1, 0.95),
+    ("blueoak", "blue oak", r"blue oak model licen[sc]e(?: 1 0 0)?", 1, 0.95),
+    ("upl", "universal permissive", r"universal permissive licen[sc]e(?: v 1 0)?", 1, 0.95),
+    ("vim", "vim", r"vim licen[sc]e", 2, 0.85),
+    ("zope", "zope public", r"zope public licen[sc]e", 1, 0.95),
+    ("qpl", "q public", r"q public licen[sc]e", 1, 0.95),
+    ("sleepycat", "sleepycat", r"sleepycat licen[sc]e", 1, 0.95),
+    ("boost", "boost software", r"boost software licen[sc]e version 1 0", 1, 0.95),
+    ("boost", "boost org", r"boost org licen[sc]e 1 0 txt", 1, 0.95),
+    ("postgresql", "postgresql global", r"postgresql global development group", 3, 0.7),
+    ("python", "python software foundation", r"python software foundation licen[sc]e version 2", 1, 0.95),
+    ("php", "php net", r"php net license 3 01? txt", 1, 0.95),
+    ("ofl", "sil open font", r"this font software is licen[sc]ed under the sil open font licen[sc]e version 1 1", 0, 1.0),
+    ("ofl", "scripts sil org", r"scripts sil org ofl", 1, 0.95),
+    # Public domain and Creative Commons
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0, 1.0),
+    ("unlicense", "unlicense org", r"unlicense org", 2, 0.9),
+    ("wtfpl", "do what the", r"do what the fuck you want to public licen[sc]e", 0, 1.0),
+    ("cc0", "publicdomain zero", r"creativecommons org publicdomain zero 1 0", 1, 0.95),
+    ("cc0", "cc0", r"cc0 (?:1 0 )?(?:universal|no rights reserved)", 1, 0.95),
+    ("public-domain", "dedicated to the public", r"dedicated to the public domain", 3, 0.9),
+    ("public-domain", "released into the public", r"(?:has been |is )?released into the public domain", 3, 0.9),
+    ("public-domain", "placed in the public", r"(?:has been |is )?placed in the public domain", 3, 0.9),
+    ("cc-by", "creativecommons org", r"creativecommons org licen[sc]es by [1-4] [05]", 1, 0.95),
+    ("cc-by-sa", "creativecommons org", r"creativecommons org licen[sc]es by sa [1-4] [05]", 1, 0.95),
+    ("cc-by-nd", "creativecommons org", r"creativecommons org licen[sc]es by nd [1-4] [05]", 1, 0.95),
+    ("cc-by-nc", "creativecommons org", r"creativecommons org licen[sc]es by nc [1-4] [05]", 1, 0.95),
+    ("cc-by-nc-sa", "creativecommons org", r"creativecommons org licen[sc]es by nc sa [1-4] [05]", 1, 0.95),
+    ("cc-by-nc-nd", "creativecommons org", r"creativecommons org licen[sc]es by nc nd [1-4] [05]", 1, 0.95),
+    ("odbl", "opendatacommons", r"opendatacommons org licenses odbl", 1, 0.95),
+    ("odc-by", "opendatacommons", r"opendatacommons org licenses by", 1, 0.95),
+    ("pddl", "opendatacommons", r"opendatacommons org licenses pddl", 1, 0.95),
+    # Restrictive
+    ("proprietary", "copying of this file", r"unauthori[sz]ed copying of this file via any medium is strictly prohibited", 2, 0.95),
+    ("proprietary", "proprietary and confidential", r"proprietary and confidential", 3, 0.85),
+    ("proprietary", "no part of this", r"no part of this (?:publication|document|book|software) may be reproduced", 2, 0.9),
+    ("proprietary", "end user", r"end user licen[sc]e agreement", 3, 0.8),
+    ("all-rights-reserved", "all rights reserved", r"all rights reserved", 5, 0.4),
+)
+
 #: Names that mean a license even without a phrasing around them.
 TELLING = {"affero", "agpl", "lesser", "lgpl", "gpl", "mozilla", "eclipse", "european", "cddl", "distribution", "wtfpl", "unlicense", "cc0", "cc by", "creative", "documentation"}
 
@@ -125,8 +269,8 @@ class Rule:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, by rank: each family in each phrasing, and telling names alone."""
-    found = []
+    """All rules, by rank: the signatures, each family in each phrasing, and telling names alone."""
+    found = [Rule(label, (keyword.encode(),), re.compile(rf"(?<![^ ]){form}(?![^ ])".encode()), rank, confidence) for label, keyword, form, rank, confidence in SIGNATURES]
     for label, keyword, name, rank in FAMILIES:
         forms = [(p.format(f"(?:{name})"), c) for p, c in PHRASINGS]
         if keyword in TELLING:

@@ -42,7 +42,7 @@ DISCOUNT, PRIOR = 0.75, 400.0
 #: Trigrams that a block is sent, in expectation.
 BLOCK = 1_000_000
 #: Tokens of a chunk; the text that reaches it is taken whole.
-CHUNK = 600_000
+CHUNK = 900_000
 #: Numbers of the start, the end, what follows it, and a third word that only its chunk has; shared words follow.
 START, END, AFTER, OWN, FIRST = 0, 1, 2, 3, 4
 #: In a chunk the words of its dictionary follow start, end and what follows it.

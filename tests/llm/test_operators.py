@@ -241,6 +241,16 @@ def test_license_gates_drop_nothing():
             assert got["labels"] and got == licenses.detect(f"so {text} it".encode(), gated=False)
 
 
+def test_license_bodies():
+    label = lambda t: licenses.detect(t.encode())["labels"]
+    assert label("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")") == "mit"
+    assert label("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. x") == "bsd-2-clause"
+    assert label("Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. http://www.apache.org/licenses/LICENSE-2.0") == "apache-2"
+    assert label("SPDX-License-Identifier: GPL-2.0-or-later") == "gpl-2-or-later" and label("Licensed under CC BY-NC-SA 4.0") == "cc-by-nc,cc-by-nc-sa"
+    assert label("This is free and unencumbered software released into the public domain.") == "unlicense"
+    assert label("https://creativecommons.org/licenses/by-sa/4.0/") == "cc-by-sa"
+
+
 # --- BPE ----------------------------------------------------------------------------------------------
 
 
