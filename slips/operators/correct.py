@@ -16,31 +16,18 @@ def rewrite(line: Column, rules: list[tuple[str, str, bool]]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, rx(r[0], r[2]), r[1]), rules, line)
 
 
+#: A misread character and the one after it, and a noncharacter that marks the former.
+MISREAD, MARK = r"(?<=\d)([Ol])(\d)|(?<=\p{Lu})([01])(\p{Lu})", "\ufdd0"
+REPAIRED = {"O": "0", "l": "1", "0": "O", "1": "I"}
+
+
 def confusions(line: Column) -> Column:
-    """O, l between digits and 0, 1 between capitals, left to right: what stands before is already repaired."""
-    touched = line.rlike("(?U)[0-9OlI]")
-
-    def scan(chars: Column) -> Column:
-        state = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
-
-        def step(acc, pair):
-            c, after = pair["c"], pair["after"]
-            digits = acc["last"].rlike(r"^\d$") & after.rlike(r"^\d$")
-            capitals = acc["last"].rlike(r"^\p{Lu}$") & after.rlike(r"^\p{Lu}$")
-            now = (
-                F.when((c == "O") & digits, "0")
-                .when((c == "0") & capitals, "O")
-                .when((c == "1") & capitals, "I")
-                .when((c == "l") & digits, "1")
-                .otherwise(c)
-            )
-            return F.struct(F.concat(acc["done"], now).alias("done"), now.alias("last"))
-
-        pairs = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.coalesce(F.get(chars, i + 1), F.lit("")).alias("after")))
-        return F.aggregate(pairs, state, step, lambda acc: acc["done"])
-
-    chars = F.filter(F.split(line, ""), lambda c: c != "")
-    return F.when(touched & (F.length(line) > 2), let(chars, scan)).otherwise(line)
+    """O, l between digits and 0, 1 between capitals, left to right: what stands before is already repaired.
+
+    After a repair the next character is a digit or capital that stays as it is, so a match takes it along.
+    """
+    marked = F.regexp_replace(line, MISREAD, f"{MARK}$1$2$3$4")
+    return F.when(line.rlike(MISREAD), reduce(lambda c, r: F.replace(c, F.lit(MARK + r[0]), F.lit(r[1])), REPAIRED.items(), marked)).otherwise(line)
 
 
 def correct_line(line: Column) -> Column:

@@ -101,15 +101,17 @@ def rows(lines: Column) -> Column:
     """array<struct<row_number, text, item_count, columns, confidence, y_position, merged>>"""
 
     def build(placed):
-        count = F.coalesce(F.array_max(F.transform(placed, lambda p: p["row"])), F.lit(0))
-        numbers = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        # Rows are runs of the placed lines, each from one break to the next.
+        breaks = F.filter(F.transform(placed, lambda p, i: F.when((i == 0) | (p["row"] != F.get(placed, i - 1)["row"]), i)), lambda i: i.isNotNull())
+        return let(F.struct(placed.alias("placed"), F.array_append(breaks, F.size(placed)).alias("breaks")), cut)
 
-        def of(r):
-            own = F.filter(placed, lambda p: p["row"] == r)
+    def cut(v):
+        def of(start, k):
+            own = F.slice(v["placed"], start + 1, F.get(v["breaks"], k + 1) - start)
             across = F.array_sort(F.transform(own, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y"), p["line"].alias("line"))))
-            return let(across, lambda items: _row(items, r))
+            return let(across, lambda items: _row(items, k + 1))
 
-        return F.transform(numbers, of)
+        return F.transform(F.slice(v["breaks"], 1, F.size(v["breaks"]) - 1), of)
 
     return let(_rows_of(lines), build)
 

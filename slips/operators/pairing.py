@@ -11,6 +11,7 @@ from itertools import islice, takewhile
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class Step(NamedTuple):
@@ -302,11 +303,12 @@ ITEMS = pa.list_(pa.struct([("src", pa.int32()), ("name", pa.string()), ("price"
 
 
 def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the columns ``features``, ``skip`` and ``stated`` by ``items``; the rest pass through."""
+    """Fill ``items`` of the rows with ``features`` and drop what only they have; other rows keep the items they have."""
     for batch in batches:
         names = batch.schema.names
-        kinds = batch.column(names.index("receipt_type")).to_pylist()
-        own = [batch.column(names.index(c)).to_pylist() for c in ("features", "skip", "stated")]
-        found = [PASSES[k](Strip(f or [], skip), stated) for k, f, skip, stated in zip(kinds, *own, strict=True)]
-        kept = [c for c in names if c not in ("features", "skip", "stated")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(found, ITEMS)], names=[*kept, "items"])
+        kept = [c for c in names if c not in ("features", "skip", "stated", "items")]
+        open_, given = batch.filter(batch.column("features").is_valid()), batch.column("items").cast(ITEMS)
+        rows = zip(*(open_.column(c).to_pylist() for c in ("receipt_type", "features", "skip", "stated")), strict=True)
+        found = pa.array([PASSES[k](Strip(f, skip), stated) for k, f, skip, stated in rows], ITEMS)
+        at = pc.if_else(batch.column("features").is_valid(), pc.add(pc.cumulative_sum(batch.column("features").is_valid().cast(pa.int64())), len(batch) - 1), pa.array(range(len(batch)), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.concat_arrays([given, found]).take(at)], names=[*kept, "items"])

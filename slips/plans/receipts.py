@@ -48,18 +48,20 @@ def by_type(receipt_type: Column, plans: dict, default: str) -> Column:
 
 
 def with_items(head: DataFrame) -> DataFrame:
-    """Items of every receipt by its type's plan. Only types whose passes compete for lines visit Python."""
+    """Items of every receipt by its type's plan, each line evaluated once: types whose passes compete for lines leave the
+    matching of positions to Python, to which the others' items pass through."""
     lines, kind = F.col("lines"), F.col("receipt_type")
     plans = {k: items.neighbour_items(lines, k) for k in ("generic", "fast_food", "department_store")} | {k: f(lines) for k, f in EXTRA.items()}
-    alone = head.where(~kind.isin(*items.PAIRED)).withColumn("items", by_type(kind, plans, "generic"))
-    features = head.where(kind.isin(*items.PAIRED)).select(
+    paired = kind.isin(*items.PAIRED)
+    wide = head.select(
         "*",
-        by_type(kind, {k: items.line_features(lines, k) for k in items.PAIRED}, "inline_price").alias("features"),
-        by_type(kind, {k: items.skip_prices(lines, k) for k in items.PAIRED}, "inline_price").alias("skip"),
-        by_type(kind, {k: items.stated_count(lines, k) for k in items.PAIRED}, "inline_price").alias("stated"),
+        F.when(~paired, by_type(kind, plans, "generic")).alias("items"),
+        F.when(paired, by_type(kind, {k: items.line_features(lines, k) for k in items.PAIRED}, "inline_price")).alias("features"),
+        F.when(paired, by_type(kind, {k: items.skip_prices(lines, k) for k in items.PAIRED}, "inline_price")).alias("skip"),
+        F.when(paired, by_type(kind, {k: items.stated_count(lines, k) for k in items.PAIRED}, "inline_price")).alias("stated"),
     )
     out = T.StructType([*head.schema.fields, T.StructField("items", T.ArrayType(T._parse_datatype_string(items.SOURCED)))])
-    return alone.unionByName(features.mapInArrow(pairing.pair_batches, out))
+    return wide.mapInArrow(pairing.pair_batches, out)
 
 
 def validated(found: DataFrame, sourced: bool = False) -> DataFrame:
