@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slips.functions import patterns
 from slips.functions.text import clean_lines
 from slips.operators import classify, correct, fields, files, geometry, ocr, orientation
-from slips.plans import receipts, render
+from slips.plans import batch, receipts, render
 from slips.sources.readers import to_line_table
 from slips.sources.writers import as_json
 
@@ -148,24 +151,43 @@ def fld18_simple_metadata(spark, sf_dir):
     return lined(spark, sf_dir).select("doc_id", fields.simple_metadata(F.col("lines")).alias("m")).select("doc_id", "m.*")
 
 
-@query("val1_item_sum_warning", f"""{WITH} SELECT doc_id, CASE WHEN kind = 3 AND doc_id % 2 = 1 THEN 'item_sum_exceeds_total' END AS extraction_warning FROM rendered WHERE kind = 3""")
+@query("val1_item_sum_warning", f"""{WITH} SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND kind <> 5 AND cents - 10000007 > 150 THEN 'item_sum_exceeds_total' END AS extraction_warning FROM rendered""")
 def val1_item_sum_warning(spark, sf_dir):
-    """Department store receipts whose first total is too small for their items on odd keys."""
-    own = docs(spark, sf_dir).where("layout = 'department_store'")
+    """Receipts with one more total on odd keys, too small for their items; the generic layout takes the first total it sees."""
     less = F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("GRAND TOTAL 1.00"))).otherwise(F.array().cast("array<string>"))
-    return receipts.extract(own.select("doc_id", F.concat("lines", less).alias("lines"))).select("doc_id", "extraction_warning")
+    return receipts.extract(docs(spark, sf_dir).select("doc_id", F.concat("lines", less).alias("lines"))).select("doc_id", "extraction_warning")
+
+
+def _hits(text: str, words: list[str]) -> str:
+    """SQL: how many of the words occur in upper-cased text."""
+    listed = ", ".join("'" + w.upper().replace("'", "''") + "'" for w in words)
+    return f"len(list_filter([{listed}], lambda k: contains({text}, k)))"
 
 
-@query("rot1_text_orientation", f"{WITH} SELECT doc_id, 180 AS turned, 0 AS upright FROM rendered WHERE kind < 3")
+def _turned(lines: str) -> str:
+    """SQL: 0 or 180, from the keywords in the first and the last third of the lines."""
+    top, bottom = f"upper(array_to_string({lines}[1:len({lines}) // 3], ' '))", f"upper(array_to_string({lines}[len({lines}) * 2 // 3 + 1:], ' '))"
+    header, footer = patterns.HEADER_KEYWORDS, patterns.FOOTER_KEYWORDS
+    return f"CASE WHEN len({lines}) >= 4 AND {_hits(top, header)} = 0 AND ({_hits(top, footer)} >= 1 OR {_hits(bottom, header)} >= 1) THEN 180 ELSE 0 END"
+
+
+@query("rot1_text_orientation", f"{WITH} SELECT doc_id, {_turned('r')} AS turned, {_turned('l')} AS upright FROM (SELECT doc_id, lines AS l, list_reverse(lines) AS r FROM rendered)")
 def rot1_text_orientation(spark, sf_dir):
-    own = lined(spark, sf_dir).where(F.pmod("doc_id", F.lit(6)) < 3)
+    own = lined(spark, sf_dir)
     return own.select("doc_id", orientation.text_orientation(F.reverse("lines")).alias("turned"), orientation.text_orientation(F.col("lines")).alias("upright"))
 
 
-@query("rot3_spatial_orientation", f"{WITH} SELECT doc_id, 0 AS upright, 180 AS turned FROM rendered WHERE kind < 3")
+_CELLS = r"""SELECT doc_id, unnest([{'t': upper(regexp_extract(x, '^(.*?)(?:  +|$)', 1)), 'y': i * 40}] || CASE WHEN regexp_matches(x, '  +')
+    THEN [{'t': upper(regexp_extract(x, '^.*?  +(.*)$', 1)), 'y': i * 40 + 3}] ELSE [] END) AS c FROM (SELECT doc_id, unnest(lines) AS x, unnest(range(0, len(lines))) AS i FROM rendered)"""
+
+
+@query("rot3_spatial_orientation", f"""{WITH} SELECT doc_id, CASE WHEN ht = 0 AND (ft >= 1 OR hb >= 1) THEN 180 ELSE 0 END AS upright,
+    CASE WHEN hb = 0 AND (fb >= 1 OR ht >= 1) THEN 180 ELSE 0 END AS turned FROM (SELECT doc_id,
+    sum(CASE WHEN m < tall * 0.35::DOUBLE THEN h ELSE 0 END) AS ht, sum(CASE WHEN m > tall * 0.65::DOUBLE THEN h ELSE 0 END) AS hb,
+    sum(CASE WHEN m < tall * 0.35::DOUBLE THEN f ELSE 0 END) AS ft, sum(CASE WHEN m > tall * 0.65::DOUBLE THEN f ELSE 0 END) AS fb
+    FROM (SELECT doc_id, c.y + 11.0::DOUBLE AS m, max(c.y + 22.0::DOUBLE) OVER (PARTITION BY doc_id) AS tall, {_hits('c.t', patterns.HEADER_KEYWORDS)} AS h, {_hits('c.t', patterns.FOOTER_KEYWORDS)} AS f FROM ({_CELLS})) GROUP BY doc_id)""")
 def rot3_spatial_orientation(spark, sf_dir):
-    own = docs(spark, sf_dir).where(F.pmod("doc_id", F.lit(6)) < 3)
-    boxed = render.boxes(own).withColumn("tall", F.size("lines") * 2.0 * 40)
+    boxed = render.boxes(docs(spark, sf_dir))
     tall = F.array_max(F.transform("lines", lambda x: F.get(F.get(x["bbox"], 2), 1)))
     flip = lambda x: x.withField("bbox", F.transform(x["bbox"], lambda p: F.array(F.get(p, 0), tall - F.get(p, 1))))
     return boxed.select(
@@ -202,18 +224,95 @@ def geo10_structure(spark, sf_dir):
     return done.select("doc_id", "structure.total_rows", "structure.has_items", "structure.average_items_per_row")
 
 
-@query("geo8_merged_rows", f"""{WITH} SELECT doc_id, count(*)::INT AS merged FROM (SELECT doc_id, y, lead(y) OVER (PARTITION BY doc_id ORDER BY i) AS nxt
-    FROM (SELECT doc_id, unnest(lines) AS y, unnest(range(0, len(lines))) AS i FROM rendered WHERE kind = 2))
-    WHERE regexp_matches(y, '^1 .*   ') AND NOT regexp_matches(nxt, '^1 .*   ') GROUP BY doc_id""")
+@query("geo8_merged_rows", rf"""{WITH} SELECT doc_id, count(*) FILTER (p AND NOT coalesce(nxt, true))::INT AS merged FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY i) AS nxt
+    FROM (SELECT doc_id, i, regexp_matches(regexp_replace(x, ' {{2,}}([0-9])', '  $\1', 'g'), '[$][0-9]+[.][0-9]{{2}}') AS p
+    FROM (SELECT doc_id, unnest(lines) AS x, unnest(range(0, len(lines))) AS i FROM rendered))) GROUP BY doc_id""")
 def geo8_merged_rows(spark, sf_dir):
-    """Fast-food receipts priced in dollars on tight rows: the last item takes in the line after it."""
-    own = docs(spark, sf_dir).where("layout = 'fast_food'").select("doc_id", F.transform("lines", lambda x: F.regexp_replace(x, r" {2,}(\d)", r"  \$$1")).alias("lines"))
+    """Receipts priced in dollars on tight rows: a row with a price takes in the row after it that has none."""
+    own = docs(spark, sf_dir).select("doc_id", F.transform("lines", lambda x: F.regexp_replace(x, r" {2,}(\d)", r"  \$$1")).alias("lines"))
     tight = lambda x: x.withField("bbox", F.transform(x["bbox"], lambda p: F.array(F.get(p, 0), F.get(p, 1) * 0.75)))
     rows = geometry.rows(F.transform("lines", tight))
     merged = render.boxes(own).select("doc_id", F.explode(F.array(rows)).alias("rows")).select("doc_id", geometry.merged(F.col("rows")).alias("m"))
     return merged.select("doc_id", F.size(F.filter("m", lambda r: F.coalesce(r["merged"], F.lit(False)))).alias("merged"))
 
 
+# --- Recognised pages: every seventh cannot be read; names and prices are lines of their own -----------
+
+PAGE = "replace(array_to_string([regexp_replace(x, '  +', chr(10)) FOR x IN lines], chr(10)), 'BOOKSTORE', 'BOOK STORE')"
+SEEN = "(len(lines) + len(list_filter(lines, lambda x: regexp_matches(x, '  +'))))::INT"
+# What a page's receipt looks like once its lines have been corrected: the chain of kind 3 is no longer known.
+PAGE_KIND = "CASE WHEN kind = 0 OR kind = 4 OR kind = 3 AND n = 1 THEN 'pharmacy_column' WHEN kind = 1 THEN 'supermarket' WHEN kind = 2 THEN 'fast_food' WHEN kind = 3 THEN 'inline_price' ELSE 'generic' END"
+PAGE_SURE = "CASE WHEN kind < 3 THEN 'high' WHEN kind < 5 THEN 'medium' ELSE 'low' END"
+HAS_ITEMS = "kind IN (0, 1, 2, 4)"
+READ = f"""replace(lines[1], 'BOOKSTORE', 'BOOK STORE') AS store_name, invoice AS invoice_number, day AS date, '10:30 AM' AS time, {MONEY} AS total_amount,
+    (CASE WHEN {HAS_ITEMS} THEN n ELSE 0 END)::INT AS item_count, {PAGE_KIND} AS receipt_type, {PAGE_SURE} AS receipt_type_confidence,
+    (CASE WHEN {HAS_ITEMS} THEN 1.0 ELSE 0.8 END)::DOUBLE AS extraction_confidence"""
+PAGE_ITEMS = f"""SELECT doc_id, item_no::INT AS item_no, CASE WHEN kind = 2 THEN '1 ' ELSE '' END || x.name AS name, x.price::DOUBLE AS price, 1 AS qty, CASE WHEN kind = 0 THEN x.sku END AS sku
+    FROM ({ITEMS}) WHERE {HAS_ITEMS}"""
+METADATA = ["store_name", "invoice_number", "date", "time", "total_amount", "item_count", "receipt_type", "receipt_type_confidence", "extraction_confidence"]
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unread = F.when(F.col("doc_id") % 7 == 0, "unreadable")
+    return render.boxes(docs(spark, sf_dir)).withColumns({"error": unread, "processing_time_ms": F.lit(3).cast("long")})
+
+
+@query("api1_scan", f"""{WITH} SELECT doc_id, CASE WHEN bad THEN 'error' ELSE 'success' END AS status, CASE WHEN bad THEN '' ELSE {PAGE} END AS text,
+    CASE WHEN bad THEN 0 ELSE {SEEN} END AS lines_detected, CASE WHEN bad THEN 'unreadable' END AS error FROM (SELECT *, doc_id % 7 = 0 AS bad FROM rendered)""")
+def api1_scan(spark, sf_dir):
+    return batch.scan(pages(spark, sf_dir)).select("doc_id", "status", "text", "lines_detected", "error")
+
+
+@query("api2_scan_with_metadata", f"""{WITH} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'success' END AS status, m.* EXCLUDE (doc_id, item_count), coalesce(item_count, 0) AS item_count FROM (SELECT doc_id FROM rendered) LEFT JOIN
+    (SELECT doc_id, {READ} FROM rendered WHERE doc_id % 7 <> 0) m USING (doc_id)""")
+def api2_scan_with_metadata(spark, sf_dir):
+    read = batch.scan_with_metadata(pages(spark, sf_dir)).select("doc_id", "status", *(F.col(f"metadata.{c}").alias(c) for c in METADATA))
+    return read.withColumn("item_count", F.coalesce("item_count", F.lit(0)))
+
+
+@query("api2_scan_items", f"{WITH} {PAGE_ITEMS} AND doc_id % 7 <> 0")
+def api2_scan_items(spark, sf_dir):
+    read = batch.scan_with_metadata(pages(spark, sf_dir)).where("metadata is not null").select("doc_id", "metadata.items")
+    return receipts.item_rows(read).select("doc_id", "item_no", "name", "price", "qty", "sku")
+
+
+@query("api3_scan_multiple", f"""{WITH} SELECT doc_id, {READ} FROM rendered WHERE doc_id % 5 <> 0 UNION ALL
+    SELECT doc_id, NULL, NULL, NULL, NULL, NULL, 0, 'generic', 'low', 0.0 FROM rendered WHERE doc_id % 5 = 0""")
+def api3_scan_multiple(spark, sf_dir):
+    """Pages that come in two halves; every fifth comes in one, which is too few."""
+    boxed = render.boxes(docs(spark, sf_dir))
+    half = F.when(F.col("doc_id") % 5 == 0, F.size("lines")).otherwise(F.floor(F.size("lines") / 2).cast("int"))
+    part = lambda no, lines: F.struct(F.lit(no).alias("part_no"), lines.alias("lines"))
+    halves = F.array(part(1, F.slice("lines", 1, half)), part(2, F.slice("lines", half + 1, F.size("lines"))))
+    parts = boxed.select("doc_id", F.explode(halves).alias("p")).select("doc_id", "p.*").where("size(lines) > 0")
+    parts = parts.withColumns({"error": F.lit(None).cast("string"), "processing_time_ms": F.lit(2).cast("long")})
+    read = parts.select("*", F.struct("doc_id", "part_no").alias("key")).drop("doc_id").withColumnRenamed("key", "doc_id")
+    results = batch.scan(read).select("doc_id.doc_id", "doc_id.part_no", "status", "lines", "processing_time_ms")
+    return batch.scan_multiple(results).select("doc_id", *METADATA)
+
+
+def read_fake_image(content: bytes) -> list[tuple[list, str, float]]:
+    """A text recogniser for images that hold their lines as JSON after the signature."""
+    return [(x["bbox"], x["text"], x["confidence"]) for x in json.loads(content[8:])]
+
+
+@query("api5_process", f"""{WITH} SELECT doc_id, CASE WHEN bad OR broken THEN 'error' ELSE 'success' END AS status, CASE WHEN bad THEN 'Invalid file extension: txt' WHEN broken THEN 'broken' END IS NOT NULL AS failed,
+    CASE WHEN bad OR broken THEN 0 ELSE {SEEN} END AS lines_detected, CASE WHEN NOT bad AND NOT broken THEN replace(lines[1], 'BOOKSTORE', 'BOOK STORE') END AS merchant_name,
+    CASE WHEN NOT bad AND NOT broken THEN {MONEY} END AS total FROM (SELECT *, doc_id % 9 = 0 AS bad, doc_id % 11 = 0 AS broken FROM rendered)""")
+def api5_process(spark, sf_dir):
+    """Files to receipts in a batch: a wrong extension or a broken image is that file's error only."""
+    key, lines = F.col("doc_id"), F.to_json("lines")
+    signature = F.unhex(F.lit("89504E470D0A1A0A"))
+    body = F.when(key % 11 == 0, F.lit("{{")).otherwise(lines)
+    images = render.boxes(docs(spark, sf_dir)).select(
+        "doc_id", F.concat(F.lit("/in/"), key.cast("string"), F.when(key % 9 == 0, ".txt").otherwise(".png")).alias("path"), F.concat(signature, F.encode(body, "UTF-8")).alias("content")
+    )
+    results = batch.process_images(images, read_fake_image)
+    told = results.select("doc_id", F.col("metadata.store_name").alias("store_name"), F.col("metadata.total_amount").alias("total_amount"))
+    listed = batch.batch_items(results, told)
+    return listed.select("doc_id", "status", F.col("error").isNotNull().alias("failed"), "lines_detected", "merchant_name", "total")
+
+
 @query("ocr_assemble", f"""{WITH} SELECT doc_id, 'success' AS status, len(list_filter(cells, lambda c: c > 0))::INT AS rows_seen FROM (SELECT doc_id, [1 FOR x IN lines] AS cells FROM rendered)""")
 def ocr_assemble(spark, sf_dir):
     boxed = render.boxes(docs(spark, sf_dir)).withColumns({"error": F.lit(None).cast("string"), "processing_time_ms": F.lit(1).cast("long")})
