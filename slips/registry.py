@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slips.plans import queries_parts, queries_receipts
+from slips.plans import queries_parts, queries_receipts, queries_rules
 
-MODULES = [queries_receipts, queries_parts]
+MODULES = [queries_receipts, queries_parts, queries_rules]
 
 
 def flagship(spark, sf_dir):
