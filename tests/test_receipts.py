@@ -1,9 +1,14 @@
 """Hand-traced receipts and field rules."""
 
+import random
+import re
+
+import pyarrow.parquet as pq
 import pytest
 
-from slips.operators import classify, fields
-from slips.plans import receipts
+from slips.functions import patterns
+from slips.operators import classify, correct, fields
+from slips.plans import queries_parts, receipts
 from pyspark.sql import functions as F
 
 PHARMACY = "MERCURY DRUG - RIZAL BANANGONAN EM COMPLEX ¦ EM Complex, Manila East Road, ¦ Brgy.Pantok,Binangonan, Rizal ¦ VAT REG TIN : 000-388-474-00778 ¦ MOBILE/VIBER NO : 0908813-2818 ¦ TOSHIBA4900 41CRD20R003 01070 ¦ PA99S/S ¦ 1220.00T ¦ NIDO5+PDR MLK2kg ¦ 480036140523 ¦ 90.00T ¦ GREEN COF MX219 ¦ TOTAL ¦ 1310.00 ¦ AMOUNT TENDERED ¦ CASH ¦ 2000.00 ¦ CHANGE ¦ 690.00 ¦ ** 2 item(s) ** ¦ VAT - 12%  140.36 ¦ TXN#110855 11-13-25 02:15P EJ ¦ INVOICE#110703137533"
@@ -73,6 +78,54 @@ def test_chain_over_line_break_and_priority(spark):
     assert got == [("pharmacy_column", "high"), ("supermarket", "high"), ("generic", "low")]
 
 
+def slow_type(lines):
+    """Chain names over the whole text, then markers line by line, then the shares of price lines."""
+    block = "\n".join(lines)
+    for kind, (chains, _) in patterns.SIGNATURES.items():
+        if any(re.search(p, block, re.I) for p in chains):
+            return kind, "high"
+    for kind, (_, markers) in patterns.SIGNATURES.items():
+        if any(re.search(p, x, re.I) for p in markers for x in lines):
+            return kind, "high"
+    prices = [x for x in lines if re.search(patterns.SHAPE_PRICE, x)]
+    inline = [x for x in lines if re.search(patterns.SHAPE_INLINE, x) and x not in prices]
+    if lines and len(prices) / len(lines) >= patterns.STANDALONE_RATIO:
+        return "pharmacy_column", "medium"
+    if lines and len(inline) / len(lines) >= patterns.INLINE_RATIO:
+        return "inline_price", "medium"
+    return "generic", "low"
+
+
+def test_documents_as_receipts(spark):
+    """Every document is taken for some receipt; its type is what a slow version says."""
+    folder = "/root/testdata/sf0.001"
+    rows = pq.read_table(f"{folder}/documents.parquet").to_pylist()
+    got = {r.doc_id: r for r in queries_parts.doc_text_extract(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        lines = [x for x in (y.strip() for y in (r["text"] or "").split("\n")) if x]
+        assert (got[r["doc_id"]].receipt_type, got[r["doc_id"]].receipt_type_confidence) == slow_type(lines), r["doc_id"]
+
+
+def test_misread_characters_are_repaired_from_left_to_right(spark):
+    """Against the rule told character by character."""
+    rand = random.Random(3)
+    texts = ["".join(rand.choice("O0l1I25AÉb ") for _ in range(rand.randrange(0, 14))) for _ in range(3000)]
+
+    def slow(t):
+        out = list(t)
+        for i in range(1, len(t) - 1):
+            a, b = out[i - 1], t[i + 1]
+            if a in "0125" and b in "0125":
+                out[i] = {"O": "0", "l": "1"}.get(t[i], t[i])
+            elif a.isupper() and b.isupper():
+                out[i] = {"0": "O", "1": "I"}.get(t[i], t[i])
+        return "".join(out)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.got == slow(r.t) for r in df.select("t", correct.confusions(F.col("t")).alias("got")).collect())
+
+
 def test_register_layout(spark):
     from slips.operators import items
 
