@@ -16,20 +16,36 @@ LINE = "struct<text:string,confidence:double,bbox:array<array<double>>>"
 DROP_SCORE, SMALL_DROP_SCORE, SMALL_TEXT = 0.30, 0.20, 15.0
 
 
-def recognise(images: DataFrame, backend: Callable[[bytes], list[tuple[list, str, float]]]) -> DataFrame:
-    """doc_id, lines and error from doc_id and content. ``backend`` gives (box, text, confidence) of one image.
+Backend = Callable[[bytes], list[tuple[list, str, float]]]
+
+
+def is_small(found: list[tuple[list, str, float]]) -> bool:
+    """Whether the mean height of the boxes calls for the small-text pass."""
+    tall = [max(p[1] for p in box) - min(p[1] for p in box) for box, _, _ in found if box]
+    return bool(tall) and 0 < sum(tall) / len(tall) < SMALL_TEXT
+
+
+def recognise(images: DataFrame, backend: Backend, small_backend: Backend | None = None) -> DataFrame:
+    """doc_id, lines and error from doc_id and content. ``backend`` gives (box, text, confidence) of one image; where its lines
+    are small, ``small_backend`` reads the image again in the same task, and what finds more lines counts.
 
     A failing image gives an error row; it never fails the batch.
     """
     kind = images.schema["doc_id"].dataType.simpleString()
 
+    def read(content: bytes) -> list[dict]:
+        found = backend(content)
+        if small_backend is not None and is_small(found):
+            found = max(found, small_backend(content), key=len)
+        return [{"text": t, "confidence": c, "bbox": b} for b, t, c in found]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("bbox", pa.list_(pa.list_(pa.float64())))]))
         for batch in batches:
             lines, errors = [], []
             for content in batch.column(1).to_pylist():
                 try:
-                    lines.append([{"text": t, "confidence": c, "bbox": b} for b, t, c in backend(content)])
+                    lines.append(read(content))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - reported in the row
                     lines.append(None)

@@ -296,6 +296,18 @@ def read_fake_image(content: bytes) -> list[tuple[list, str, float]]:
     return [(x["bbox"], x["text"], x["confidence"]) for x in json.loads(content[8:])]
 
 
+def read_first_line(content: bytes) -> list[tuple[list, str, float]]:
+    return read_fake_image(content)[:1]
+
+
+@query("ocr2_second_pass", f"{WITH} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {SEEN} ELSE 1 END AS n FROM rendered")
+def ocr2_second_pass(spark, sf_dir):
+    """Images whose small lines, on even keys, make the reader look again."""
+    small = lambda x: x.withField("bbox", F.transform(x["bbox"], lambda p: F.array(F.get(p, 0), F.get(p, 1) * F.when(F.col("doc_id") % 2 == 0, 0.5).otherwise(1.0))))
+    images = render.boxes(docs(spark, sf_dir)).select("doc_id", F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode(F.to_json(F.transform("lines", small)), "UTF-8")).alias("content"))
+    return ocr.recognise(images, read_first_line, read_fake_image).select("doc_id", F.size("lines").alias("n"))
+
+
 @query("api5_process", f"""{WITH} SELECT doc_id, CASE WHEN bad OR broken THEN 'error' ELSE 'success' END AS status, CASE WHEN bad THEN 'Invalid file extension: txt' WHEN broken THEN 'broken' END IS NOT NULL AS failed,
     CASE WHEN bad OR broken THEN 0 ELSE {SEEN} END AS lines_detected, CASE WHEN NOT bad AND NOT broken THEN replace(lines[1], 'BOOKSTORE', 'BOOK STORE') END AS merchant_name,
     CASE WHEN NOT bad AND NOT broken THEN {MONEY} END AS total FROM (SELECT *, doc_id % 9 = 0 AS bad, doc_id % 11 = 0 AS broken FROM rendered)""")
