@@ -13,9 +13,10 @@ from . import (
     pii,
     quality,
     sharding,
+    simhash,
 )
 
-MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, lm, quality, near]
+MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, lm, quality, near, simhash]
 
 
 def queries() -> dict:
