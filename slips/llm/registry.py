@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     bpe,
+    conversations,
     decontam,
     exact_dedup,
     language,
@@ -16,7 +17,7 @@ from . import (
     simhash,
 )
 
-MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, lm, quality, near, simhash]
+MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, lm, quality, near, simhash, conversations]
 
 
 def queries() -> dict:
