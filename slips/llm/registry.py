@@ -11,13 +11,14 @@ from . import (
     licenses,
     lm,
     near,
+    negatives,
     pii,
     quality,
     sharding,
     simhash,
 )
 
-MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, lm, quality, near, simhash, conversations]
+MODULES = [pii, bpe, sharding, licenses, exact_dedup, decontam, language, lm, quality, near, conversations, negatives, simhash]
 
 
 def queries() -> dict:
