@@ -170,7 +170,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 def tile_links(sets: list[np.ndarray], bands: np.ndarray, crowded: np.ndarray, band: int, sides: np.ndarray, similar: float) -> np.ndarray:
     """Which pairs of a tile's members are links that no other bucket counts (symmetric mask).
 
-    ``crowded`` has a bit for each band whose bucket is crowded; ``sides`` parts the two blocks of a tile.
+    ``crowded`` (member by band) says whose bucket is crowded; ``sides`` parts the two blocks of a tile.
     """
     sizes = np.array([len(x) for x in sets], np.float32)
     shared = shared_counts(sets)
@@ -182,8 +182,7 @@ def tile_links(sets: list[np.ndarray], bands: np.ndarray, crowded: np.ndarray, b
     if sides.any():
         exact &= sides[i] != sides[j]
     for b in range(bands.shape[1]):
-        is_crowded = (crowded[i] >> b & 1).astype(bool)
-        elsewhere = ~is_crowded | (b < band)
+        elsewhere = ~crowded[i, b] | (b < band)
         exact &= ~((bands[i, b] == bands[j, b]) & elsewhere) if b != band else True
     out = np.zeros_like(mask)
     out[i[exact], j[exact]] = True
@@ -203,7 +202,7 @@ def forest(mask: np.ndarray) -> np.ndarray:
 
 def crowded_links(members: DataFrame, texts: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
     """nid, links and root of members of crowded buckets, a row for each tile they are in."""
-    masks = members.where("crowded").groupBy("nid").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    masks = members.where("crowded").groupBy("nid").agg(F.collect_set("band").alias("mask"))  # one entry for each band at most
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = members.where("crowded").select("h", "band", "nid", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     tiled = own.select("h", "band", "nid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -218,7 +217,10 @@ def crowded_links(members: DataFrame, texts: DataFrame, nodes: DataFrame, simila
             body, at = text_buffer(tile.column("t"))
             sets = [np.unique(shingles(body, at[k : k + 2])[0]) for k in range(len(tile))]
             bands = np.array(tile.column("bands").to_pylist(), np.int64)
-            mask = tile_links(sets, bands, tile.column("mask").to_numpy(), tile.column("band")[0].as_py(), tile.column("side").to_numpy(), similar)
+            crowded = np.zeros(bands.shape, bool)
+            own = tile.column("mask").combine_chunks()
+            crowded[np.repeat(np.arange(len(tile)), own.value_lengths().to_numpy()), own.flatten().to_numpy()] = True
+            mask = tile_links(sets, bands, crowded, tile.column("band")[0].as_py(), tile.column("side").to_numpy(), similar)
             nid = tile.column("nid").to_numpy()
             return pa.RecordBatch.from_arrays([pa.array(nid), pa.array(mask.sum(axis=1).astype(np.int64)), pa.array(nid[forest(mask)])], names=["nid", "links", "root"])
 

@@ -18,17 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, read_table
+from .common import crc_mod, read_table, stash
 from .texts import slices, text_buffer
 
 #: Bytes of a chunk and from one chunk to the next; width and stride of filters; filters; embedding; hidden.
 CHUNK, HOP, WIDTH, STRIDE, FILTERS, EMBED, HIDDEN = 256, 192, 8, 2, 24, 8, 16
-#: Labelled texts of each label (in expectation) that training sees.
-SAMPLE = 2_000
+#: Most labelled texts of each label that training sees, most bytes of their chunks, and most bytes of a text among them.
+SAMPLE, SAMPLE_BYTES, LONGEST = 2_000, 64 << 20, 4 << 20
 #: Chunks that the gradient unrolls at once.
 UNROLLED = 256
 STEPS, BATCH, RATE, SEED = 400, 32, 6e-3, 7
@@ -148,13 +148,29 @@ class Network:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
-    """All chunks and label of about ``sample`` texts of each label, and how many rows of ``docs`` have each label."""
+    """All chunks and label of up to ``sample`` texts of each label and up to SAMPLE_BYTES of chunks of each, and how many
+    rows of ``docs`` have each label.
+
+    Labelled rows are ranked by a hash of row and text, so that rows that repeat an id are drawn apart. Rows are taken in
+    that order for as long as both bounds hold; a text is taken whole, or not at all if it is longer than LONGEST. Only ids
+    and lengths are ranked, of about twice the sample.
+    """
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
-    own = docs.select(F.col(id_col).alias("__id")).join(marked, "__id")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("__id"), F.octet_length(text).cast("long").alias("__size"), F.md5(text.cast("binary")).alias("__key"))
+    # Repeated labels of an id and repeated rows of a text are told apart by a number of their own.
+    own = stash(rows.join(marked, "__id").select("__y", "__size", "__id", "__key", F.monotonically_increasing_id().alias("__row")), "quality-labelled")
     counts = {r["__y"]: r["count"] for r in own.groupBy("__y").count().collect()}
-    share = F.when(F.col("__y") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))
-    picked = marked.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30) < share)  # at most a few thousand rows
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    lot = F.xxhash64("__id", "__key", "__row")
+    share = F.when(F.col("__y") == 1, min(1.0, 2 * sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, 2 * sample / max(1, counts.get(0, 0))))
+    drawn = own.where(F.col("__size") <= LONGEST).withColumn("__lot", lot).where(F.pmod("__lot", F.lit(1 << 30)) / float(1 << 30) < share)
+    order = Window.partitionBy("__y").orderBy("__lot", "__row")
+    # A text of n bytes has up to n / HOP + 1 chunks.
+    ranked = drawn.withColumns({"__rank": F.row_number().over(order), "__sum": F.sum(F.floor(F.col("__size") / HOP) * CHUNK + CHUNK).over(order)})
+    chosen = ranked.where((F.col("__rank") <= sample) & (F.col("__sum") <= SAMPLE_BYTES))
+    picked = stash(chosen.groupBy("__id", "__key", "__y").agg(F.count(F.lit(1)).alias("__times")), "quality-picked")  # at most twice the sample
+    wanted = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.md5(text.cast("binary")).alias("__key")).join(F.broadcast(picked), ["__id", "__key"])
+    one = wanted.groupBy("__id", "__key", "__y", "__times").agg(F.any_value("__text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,11 +179,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             for low, high in zip(at[:-1], at[1:], strict=True):
                 own, _ = chunks(body[low:high], np.array([0, high - low]))
                 found.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["id", "seen", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2), batch.column(3)], names=["id", "seen", "y", "times"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("__id", "__text", "__y").mapInArrow(run, f"id {kind}, seen binary, y int").collect()
-    return [(bytes(r["seen"]), r["y"]) for r in sorted(got, key=lambda r: (r["id"], bytes(r["seen"]), r["y"]))], counts
+    got = one.select("__id", "__text", "__y", "__times").mapInArrow(run, f"id {kind}, seen binary, y int, times long").collect()
+    ordered = sorted(got, key=lambda r: (r["id"], bytes(r["seen"]), r["y"]))
+    return [(bytes(r["seen"]), r["y"]) for r in ordered for _ in range(r["times"])], counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Network:
