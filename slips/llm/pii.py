@@ -61,10 +61,10 @@ MASKED_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[
 LOCAL_PHONE = r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 LONG_IP = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
 TITLED = rf"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señora?)\.? [A-Z][a-z]{{1,30}}(?: [A-Z][a-z]{{1,30}})?|(?:{any_of(FIRST_NAMES)}) [A-Z][a-z]{{2,30}})"
-# A value after the name of a secret, or a long run of letters and digits.
+# A value with a digit after the name of a secret, or a long run of letters and digits.
 KEY_NAME = r"(?:api[_-]?key|access[_-]?key|private[_-]?key|key|token|secret|passwd|password|passwort|contraseña|pwd|bearer|credential)"
 KEYED = rf"(?<![A-Za-z])(?i:{KEY_NAME})[\"']? ?[:= ] ?[\"']?"
-SECRET = rf"{KEYED}(?=[A-Za-z+/_.~!#$%^&*-]{{0,200}}[0-9])[A-Za-z0-9+/_.~!#$%^&*-]{{8,}}+=*+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{{20,}}+=*+"
+SECRET = rf"{KEYED}(?=[A-Za-z+/_.~!#$%^&*-]*+[0-9])[A-Za-z0-9+/_.~!#$%^&*-]{{8,}}+=*+|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{{20,}}+=*+"
 # Kind, pattern, and what stands before the span in a match.
 PATTERNS = ((0, EMAIL, None), (1, IP, None), (2, CARD, None), (3, PHONE, None), (0, MASKED_EMAIL, None), (3, LOCAL_PHONE, None), (1, LONG_IP, None), (4, TITLED, None), (5, SECRET, f"^{KEYED}"))
 
