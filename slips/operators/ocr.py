@@ -25,34 +25,42 @@ def is_small(found: list[tuple[list, str, float]]) -> bool:
     return bool(tall) and 0 < sum(tall) / len(tall) < SMALL_TEXT
 
 
+ARROW_LINES = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("bbox", pa.list_(pa.list_(pa.float64())))]))
+
+
+def reader(backend: Backend, small_backend: Backend | None = None) -> Callable[[bytes], tuple[list[dict] | None, str | None]]:
+    """A function from an image's bytes to its lines, or to what went wrong. ``backend`` gives (box, text, confidence);
+    where its lines are small, ``small_backend`` reads the image again, and what finds more lines counts."""
+
+    def read(content: bytes) -> tuple[list[dict] | None, str | None]:
+        try:
+            found = backend(content)
+            if small_backend is not None and is_small(found):
+                found = max(found, small_backend(content), key=len)
+            return [{"text": t, "confidence": c, "bbox": b} for b, t, c in found], None
+        except Exception as e:  # noqa: BLE001 - reported in the row
+            return None, str(e) or type(e).__name__
+
+    return read
+
+
 def recognise(images: DataFrame, backend: Backend, small_backend: Backend | None = None) -> DataFrame:
-    """doc_id, lines and error from doc_id and content. ``backend`` gives (box, text, confidence) of one image; where its lines
-    are small, ``small_backend`` reads the image again in the same task, and what finds more lines counts.
+    """doc_id, lines and error from doc_id and content, each image read once, in the task that has it.
 
-    A failing image gives an error row; it never fails the batch.
+    A failing image gives an error row; it never fails the batch. Images with a text in ``refused`` (if there is such a
+    column) are not read: that text is their error.
     """
     kind = images.schema["doc_id"].dataType.simpleString()
-
-    def read(content: bytes) -> list[dict]:
-        found = backend(content)
-        if small_backend is not None and is_small(found):
-            found = max(found, small_backend(content), key=len)
-        return [{"text": t, "confidence": c, "bbox": b} for b, t, c in found]
+    refused = F.col("refused") if "refused" in images.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("bbox", pa.list_(pa.list_(pa.float64())))]))
+        read = reader(backend, small_backend)
         for batch in batches:
-            lines, errors = [], []
-            for content in batch.column(1).to_pylist():
-                try:
-                    lines.append(read(content))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 - reported in the row
-                    lines.append(None)
-                    errors.append(str(e) or type(e).__name__)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, line), pa.array(errors, pa.string())], names=["doc_id", "lines", "error"])
+            found = [(None, why) if why is not None else read(content) for content, why in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            lines, errors = ([f[k] for f in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, ARROW_LINES), pa.array(errors, pa.string())], names=["doc_id", "lines", "error"])
 
-    return images.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, lines array<{LINE}>, error string")
+    return images.select("doc_id", "content", refused.alias("refused")).mapInArrow(run, f"doc_id {kind}, lines array<{LINE}>, error string")
 
 
 def parse(lines: Column, positions: bool = True) -> Column:
@@ -106,17 +114,20 @@ def assemble(docs: DataFrame) -> DataFrame:
     )
 
 
-def merge_results(parts: DataFrame) -> DataFrame:
+def merge_results(parts: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
     """One result per document from its parts (doc_id, part_no, status, lines, processing_time_ms).
 
-    One part passes through whatever its status; of several, only successes contribute, in part order.
+    One part passes through whatever its status; of several, only successes contribute, in part order. ``extra`` holds
+    further aggregates by name.
     """
+    extra = extra or {}
     good = F.col("status") == "success"
     grouped = parts.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("merged_from"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(good, F.struct("part_no", "lines")))), lambda x: x["lines"])).alias("good_lines"),
         F.coalesce(F.sum(F.when(good, F.col("processing_time_ms"))), F.lit(0)).alias("good_ms"),
         F.first("status").alias("only_status"), F.first("lines").alias("only_lines"), F.first("processing_time_ms").alias("only_ms"),
+        *(column.alias(name) for name, column in extra.items()),
     )
     one = F.col("merged_from") == 1
     lines = F.when(one, F.col("only_lines")).otherwise(F.col("good_lines"))
@@ -128,6 +139,7 @@ def merge_results(parts: DataFrame) -> DataFrame:
         mean_confidence(lines).alias("average_confidence"),
         lines.alias("lines"),
         F.when(~one, F.col("merged_from")).alias("merged_from"),
+        *extra,
     )
 
 

@@ -246,13 +246,3 @@ def img21_nearest_corner(spark, sf_dir):
     corners = F.array(corner("topLeft", 0.0, 0.0), corner("topRight", 1.0, 0.0), corner("bottomLeft", 0.0, 1.0), corner("bottomRight", 1.0, 1.0))
     x = F.col("event_id") % 100 / 100
     return table(spark, sf_dir, "events").select("event_id", images.nearest_corner(corners, x, F.lit(0.0)).alias("corner"))
-
-
-@query("itm2_supported_types", "SELECT unnest(['generic', 'inline_price', 'fast_food', 'department_store', 'supermarket', 'pharmacy_column']) AS receipt_type")
-def itm2_supported_types(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in receipts.supported_types()[:6]], "receipt_type string")
-
-
-@query("utl13_health", "SELECT 'healthy' AS status, 'slips' AS service")
-def utl13_health(spark, sf_dir):
-    return spark.range(1).select(F.lit("healthy").alias("status"), F.lit("slips").alias("service"))

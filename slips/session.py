@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +24,19 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; it goes when the driver ends.
+
+    Only a local session may do without such a folder.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="slips-")
+    path = f"{top}/slips-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
