@@ -3,7 +3,9 @@
 A window is 13 consecutive words of a benchmark item, or the whole item if it has fewer. Exact
 containment of a window needs every one of its tokens, so its rarest token (by corpus frequency)
 is the necessary prefix: documents are joined with windows on that token alone, length and positional
-bounds drop candidates that cannot fit, and the window is then compared word by word.
+bounds drop candidates that cannot fit, and the window is then compared word by word. Texts are split into words
+twice: to count the tokens of a block of windows, and to find the windows. Which items have a window is a relation of
+its own, so what is broadcast is bounded however many items share one.
 
 Null and empty texts have no words and are never contaminated. Rows that repeat id and text give equal
 results. Items without words have no windows; an empty benchmark leaves all documents clean. Further
@@ -17,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash, without, words
+from .common import BROADCAST_ROWS, read_table, stash, without, words
 
 WINDOW = 13
 #: Windows of a block that is broadcast (about 100 bytes each); a larger benchmark takes more blocks.
@@ -31,10 +33,10 @@ def windows(w: Column, size: int = WINDOW) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows with the ids (as strings) of the items that have them."""
+    """Distinct pairs of a window (win, and key, its digest) and the id (item, as string) of an item that has it."""
     split = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
-    each = split.select("item", F.explode(windows(F.col("w"))).alias("win"))
-    return each.groupBy("win").agg(F.collect_set("item").alias("items")).withColumn("block", F.xxhash64("win"))
+    each = split.select("item", F.explode(windows(F.col("w"))).alias("win")).distinct()
+    return each.withColumn("key", F.md5(F.array_join("win", " ").cast("binary")))
 
 
 def covered(spans: Column) -> Column:
@@ -49,22 +51,44 @@ def covered(spans: Column) -> Column:
 
 
 def prefix_index(split: DataFrame, wins: DataFrame) -> DataFrame:
-    """Windows keyed by their rarest token: token, offset, win, items."""
-    tokens = wins.select("win", "items", F.posexplode("win").alias("offset", "token"))
+    """Windows keyed by their rarest token: token, offset, win, key."""
+    tokens = wins.select("win", "key", F.posexplode("win").alias("offset", "token"))
     vocabulary = tokens.select("token").distinct()
     seen = split.select(F.explode("w").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").count()
     ranked = tokens.join(F.broadcast(seen), "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     rarest = F.min_by(F.struct("token", "offset"), F.struct("count", "token", "offset")).alias("p")
-    return ranked.groupBy("win").agg(rarest, F.first("items").alias("items")).select("p.token", "p.offset", "win", "items")
+    return ranked.groupBy("win", "key").agg(rarest).select("p.token", "p.offset", "win", "key")
+
+
+def ending(spark: SparkSession) -> DataFrame:
+    """The index of the empty window, which stands once in every document: behind its last word, at the token that is no word."""
+    return spark.range(1).select(F.lit("").alias("token"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("win"), F.lit("").alias("key"))
 
 
 def hits(split: DataFrame, index: DataFrame) -> DataFrame:
-    """Verified occurrences: id, h, first word, end, items. The words are only referred to until a candidate is found."""
-    found = split.select("id", "h", "w", F.posexplode("w").alias("pos", "token")).join(F.broadcast(index), "token")
+    """Verified occurrences: id, h, first word, end, key. The words are only referred to until a candidate is found."""
+    each = split.select("id", "h", "w", F.posexplode(F.array_append("w", F.lit(""))).alias("pos", "token"))
+    found = each.join(F.broadcast(index), "token")
     first, n = F.col("pos") - F.col("offset"), F.size("win")
     fits = (first >= 0) & (first + n <= F.size("w"))
     same = F.slice("w", F.greatest(first + 1, F.lit(1)), n) == F.col("win")
-    return found.where(fits & same).select("id", "h", first.alias("first"), (first + n).alias("end"), "items")
+    return found.where(fits & same).select("id", "h", first.alias("first"), (first + n).alias("end"), "key")
+
+
+def named(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """The items of each document's windows: id, h, item. Owners are broadcast in blocks, so a window that many documents have is not shuffled."""
+    blocks = max(1, -(-owners.count() // BROADCAST_ROWS))
+    dealt = owners.withColumn("block", F.pmod(F.xxhash64("key", "item"), F.lit(blocks)))
+    parts = [found.join(F.broadcast(dealt.where(F.col("block") == b).drop("block")), "key").select("id", "h", "item") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def repeated(rows: DataFrame, copies: str) -> DataFrame:
+    """Every row ``copies`` times; the arrays that this takes are bounded."""
+    step = 1024
+    runs = rows.withColumn("__run", F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / step))))
+    within = F.least(F.lit(step), F.col(copies) - F.col("__run") * step)
+    return runs.withColumn("__copy", F.explode(F.sequence(F.lit(1), within))).drop(copies, "__run", "__copy")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,31 +96,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Documents are told apart by id and text hash, so ids that repeat or are null do no harm.
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("h"), words(F.col(text_col)).alias("w"))
-    wins = stash(item_windows(items), "decontam-windows")
+    owners = stash(item_windows(items), "decontam-owners")
+    wins = stash(owners.select("win", "key").distinct(), "decontam-windows")
     blocks = max(1, -(-wins.count() // WINDOWS_PER_BLOCK))
-    found = []
+    parts = []
     for b in range(blocks):
-        block = wins.where(F.pmod("block", F.lit(blocks)) == b)
-        index = stash(prefix_index(split, block), "decontam-index")
-        found.append(hits(split, index))
-    per_doc = (
-        reduce(DataFrame.unionByName, found)
-        .groupBy(F.col("id").alias("of"), F.col("h").alias("of_h"))
-        .agg(F.collect_set(F.struct("first", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        .select("of", "of_h", covered(F.col("spans")).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
+        index = prefix_index(split, wins.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b))
+        # The first block also finds where each document ends, so lengths cost no pass of their own.
+        parts.append(hits(split, stash(index if b else index.unionByName(ending(docs.sparkSession)), "decontam-index")))
+    found = stash(reduce(DataFrame.unionByName, parts), "decontam-hits")
+    whole = F.col("key") == ""
+    places = found.select("id", "h", F.struct("first", "end").alias("span"), whole.cast("long").alias("rows"), F.lit(None).cast("string").alias("item"))
+    names = named(found.where(~whole), owners.where("item is not null").select("key", "item"))
+    names = names.select("id", "h", F.lit(None).cast(places.schema["span"].dataType).alias("span"), F.lit(0).cast("long").alias("rows"), "item")
+    per_doc = places.unionByName(names).groupBy("id", "h").agg(
+        F.max("span.end").cast("long").alias("n_words"),
+        covered(F.collect_set("span")).cast("long").alias("n_hit"),
+        F.sort_array(F.collect_set("item")).alias("items"),
+        F.sum("rows").alias("rows"),
     )
-    counted = split.select("id", "h", F.size("w").cast("long").alias("n_words"))
-    counted = counted.join(per_doc, (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
-    return counted.select(
+    return repeated(per_doc, "rows").select(
         F.col("id").alias(id_col),
         "h",
         "n_words",
-        n_hit.alias("n_hit"),
-        F.size(items_of).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
     )
 
 

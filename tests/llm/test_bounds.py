@@ -1,11 +1,12 @@
 """Bounds that must not depend on how many bands, rows of an id or bytes of a text there are."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 
-from slips.llm import near, quality
+from slips.llm import decontam, near, quality
 
 
 def jaccard(a, b):
@@ -46,3 +47,18 @@ def test_training_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE_BYTES", 40 * quality.CHUNK)
     got, _ = quality.training_rows(docs, marked, "doc_id", "text", "quality", 300)
     assert sum(y for _, y in got) == 40 and all(len(np.frombuffer(b, np.uint8)) % quality.CHUNK == 0 for b, _ in got)
+
+
+def test_decontamination_bounds(spark, monkeypatch):
+    """A window that many items share is named by all of them, in blocks; a row that repeats past the arrays' bound stays as often."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 7)
+    items = spark.createDataFrame([(i, "one shared line of text") for i in range(40)] + [(99, "no such words")], "item_id long, text string")
+    texts = [(1, "x one shared line of text"), (None, "One shared line, of text?"), (2, "another shared text"), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs = docs.unionByName(spark.range(2500).selectExpr("5L AS doc_id", "'one shared line of text' AS text"))
+    got = decontam.decontaminate(docs, items).groupBy("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").count().collect()
+    ids = hashlib.sha256(",".join(sorted(map(str, range(40)))).encode()).hexdigest()
+    none = hashlib.sha256(b"").hexdigest()
+    assert {tuple(r) for r in got} == {
+        (1, 6, 5, 40, ids, True, 1), (None, 5, 5, 40, ids, True, 1), (5, 5, 5, 40, ids, True, 2500), (2, 3, 0, 0, none, False, 1), (3, 0, 0, 0, none, False, 1),
+    }
