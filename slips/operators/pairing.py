@@ -1,26 +1,69 @@
 """Matching of names, prices, quantities and barcodes that stand on lines of their own.
 
-A receipt is a strip of lines. Passes run over it in order; each looks for a sequence of kinds that starts at an
-open line, and takes the lines it uses. The kinds come from ``items.line_features``; nothing here reads text.
+A receipt is a strip of lines. Rules run over it in order; each is a sequence of kinds that starts at an open line, and
+takes the lines it uses. The kinds are those of ``items.line_features`` and of ``KINDS``; nothing here reads text.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
-from itertools import islice, takewhile
 from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Kinds that follow from the features of a line ``x`` and the prices ``skip`` that are totals.
+KINDS: dict[str, Callable[[dict, set], bool]] = {
+    "amount": lambda x, skip: x["price"] is not None,
+    "bare_amount": lambda x, skip: x["price"] is not None and not x["barcode"],
+    "any_price": lambda x, skip: (x["price"] or 0) > 0,
+    "price": lambda x, skip: (x["price"] or 0) > 0 and x["price"] not in skip,
+    "taxed_price": lambda x, skip: x["taxed"] and KINDS["price"](x, skip),
+    "plain_price": lambda x, skip: not x["taxed"] and KINDS["price"](x, skip),
+    "qty": lambda x, skip: x["qty"] is not None,
+    "filler": lambda x, skip: x["junk"] or x["separator"] or x["number"] or x["length"] <= 2,
+    "pause": lambda x, skip: KINDS["filler"](x, skip) or x["mode"] or x["payment"],
+    "qty_or_filler": lambda x, skip: x["qty"] is not None or KINDS["filler"](x, skip),
+    "qty_or_junk": lambda x, skip: x["qty"] is not None or x["junk"] or x["separator"],
+}
+PRICES = {"amount", "any_price", "price", "taxed_price", "plain_price"}
+
+
 class Step(NamedTuple):
-    """A kind that must (or may) follow: on the next open line, or strictly on the next line; inside the zone or not."""
+    """A kind that comes next: on the next open line, or past up to ``most`` open lines of the kind ``past``."""
 
     kind: str
+    #: The rule goes on without it; or: the rule fails if it is there.
     optional: bool = False
+    absent: bool = False
+    #: No taken line may lie between; the line must be in the zone.
     strict: bool = False
     zoned: bool = False
+    past: str | None = None
+    most: int = 0
+    #: Looked for only where this kind has been found.
+    given: str | None = None
+
+
+class Places(dict):
+    """Where the steps were found, by kind, and the lines that were passed on the way."""
+
+    def __init__(self):
+        self.passed: list[int] = []
+
+    def lines(self) -> list[int]:
+        return [*self.values(), *self.passed]
+
+
+class Rule(NamedTuple):
+    """An item: a line of kind ``head`` with ``steps`` below it, without ``above`` over it, if ``holds`` agrees."""
+
+    head: str
+    steps: tuple[Step, ...]
+    above: tuple[Step, ...] = ()
+    holds: Callable[[Strip, Places], bool] = lambda s, got: True
 
 
 class Strip:
@@ -40,29 +83,40 @@ class Strip:
             if i is not None:
                 self.open[i] = False
 
-    def priced(self, i: int | None) -> bool:
-        """A positive price that is no total."""
-        return i is not None and (self.lines[i]["price"] or 0) > 0 and self.lines[i]["price"] not in self.skip
-
     def is_(self, kind: str, i: int) -> bool:
-        if kind == "price":
-            return self.priced(i)
-        if kind == "any_price":
-            return (self.lines[i]["price"] or 0) > 0
-        if kind == "qty":
-            return self.lines[i]["qty"] is not None
-        return self.lines[i][kind]
-
-    def follow(self, i: int, steps: tuple[Step, ...]) -> dict[str, int] | None:
-        """Places of the steps after line ``i``, or None."""
-        got: dict[str, int] = {}
-        for s in steps:
-            j = self.next(i + 1)
-            if s.strict and j != i + 1:
-                j = None
-            if j is not None and not (s.zoned and j >= self.end) and self.is_(s.kind, j):
-                got[s.kind] = i = j
-            elif not s.optional:
+        rule = KINDS.get(kind)
+        return self.lines[i][kind] if rule is None else rule(self.lines[i], self.skip)
+
+    def look(self, i: int, step: Step, way: int = 1) -> tuple[int, list[int]] | None:
+        """Where a step that starts at line ``i`` ends, going down (``way`` 1) or up to the start of the zone (-1), and what it passed."""
+        k, passed, least, end = i + way, [], self.start if way < 0 else 0, self.end if step.zoned else self.n
+        while least <= k < end:
+            if self.open[k]:
+                if self.is_(step.kind, k):
+                    return k, passed
+                if len(passed) >= step.most or not self.is_(step.past, k):
+                    return None
+                passed.append(k)
+            elif step.strict:
+                return None
+            k += way
+        return None
+
+    def follow(self, i: int, steps: tuple[Step, ...], way: int = 1) -> Places | None:
+        """Places of the steps from line ``i`` on, or None."""
+        got = Places()
+        for step in steps:
+            if step.given is not None and step.given not in got:
+                continue
+            found = self.look(i, step, way)
+            if step.absent:
+                if found is not None:
+                    return None
+            elif found is not None:
+                i, passed = found
+                got[step.kind] = i
+                got.passed += passed
+            elif not step.optional:
                 return None
         return got
 
@@ -72,22 +126,25 @@ class Strip:
             "unit_price": unit, "sku": None if sku is None else self.lines[sku]["text"],
         })
 
-    def beyond(self, i: int, way: int, lets_by: Callable[[dict], bool], most: int) -> int | None:
-        """The first line after (``way`` 1) or before (-1) line ``i``, within ``most`` lines, that is not let by; none past a taken line."""
-        near = list(islice(range(i + way, self.n if way > 0 else self.start - 1, way), most))
-        passed = sum(1 for _ in takewhile(lambda k: self.open[k] and lets_by(self.lines[k]), near))
-        return near[passed] if passed < len(near) and self.open[near[passed]] else None
-
     def zone(self) -> Iterator[int]:
         return (i for i in range(self.start, self.end) if self.open[i])
 
-    def sequence(self, head: str, steps: tuple[Step, ...]) -> None:
-        """A pass: items whose name is a line of kind ``head`` and whose other parts follow it."""
-        for i in self.zone():
-            if self.open[i] and self.is_(head, i) and (got := self.follow(i, steps)) is not None:
-                q = got.get("qty")
-                self.add(i, self.lines[i]["item"], self.lines[got.get("price", got.get("any_price"))]["price"], got.get("barcode"), q if q is None else self.lines[q]["qty"], q if q is None else self.lines[q]["unit"])
-                self.take(i, *got.values())
+    def apply(self, *rules: Rule) -> None:
+        for rule in rules:
+            for i in self.zone():
+                if not self.is_(rule.head, i) or (rule.above and self.follow(i, rule.above, -1) is not None):
+                    continue
+                got = self.follow(i, rule.steps)
+                if got is not None and rule.holds(self, got):
+                    at = {rule.head: i, **got}
+                    name, price = at.get("name", i), next(k for kind, k in at.items() if kind in PRICES)
+                    self.add(name, self.lines[name]["item"], self.lines[price]["price"], got.get("barcode"), *self.count(got))
+                    self.take(i, *got.lines())
+
+    def count(self, got: dict[str, int]) -> tuple[int | None, float | None]:
+        """Quantity and unit price of the quantity line, if there is one."""
+        q = got.get("qty")
+        return (None, None) if q is None else (self.lines[q]["qty"], self.lines[q]["unit"])
 
     def inline(self, steps: tuple[Step, ...]) -> None:
         """A pass: items that have name and price on one line."""
@@ -96,8 +153,7 @@ class Strip:
             if not self.open[i] or not x["inline"] or (x["inline_price"] or 0) <= 0 or x["inline_price"] in self.skip:
                 continue
             got = self.follow(i, steps) or {}
-            q = got.get("qty")
-            self.add(i, x["inline"], x["inline_price"], got.get("barcode"), q if q is None else self.lines[q]["qty"], q if q is None else self.lines[q]["unit"])
+            self.add(i, x["inline"], x["inline_price"], got.get("barcode"), *self.count(got))
             self.take(i, *got.values())
 
     def done(self, stated: int | None = None, doubt=None) -> list[dict]:
@@ -118,7 +174,7 @@ def inline_price(s: Strip, stated: int | None) -> list[dict]:
     s.end = first_end(s, 0)
     next_barcode = Step("barcode", optional=True, strict=True)
     s.inline((next_barcode,))
-    s.sequence("name", (Step("price", zoned=True), next_barcode))
+    s.apply(Rule("name", (Step("price", zoned=True), next_barcode)))
     return s.done()
 
 
@@ -138,12 +194,13 @@ def supermarket(s: Strip, stated: int | None) -> list[dict]:
             s.take(i, *got.values())
         elif x["inline"] and (x["inline_price"] or 0) > 0 and x["inline_price"] not in s.skip:
             got = s.follow(i, (MAYBE_QTY, MAYBE_BARCODE)) or {}
-            q = got.get("qty")
-            s.add(i, x["inline"], x["inline_price"], got.get("barcode"), q if q is None else s.lines[q]["qty"], q if q is None else s.lines[q]["unit"])
+            s.add(i, x["inline"], x["inline_price"], got.get("barcode"), *s.count(got))
             s.take(i, *got.values())
-    s.sequence("name", (Step("qty"), Step("price"), MAYBE_BARCODE))
-    s.sequence("name", (Step("price", zoned=True), Step("qty", optional=True, zoned=True), MAYBE_BARCODE))
-    s.sequence("name", (Step("barcode", strict=True), Step("price", strict=True)))
+    s.apply(
+        Rule("name", (Step("qty"), Step("price"), MAYBE_BARCODE)),
+        Rule("name", (Step("price", zoned=True), Step("qty", optional=True, zoned=True), MAYBE_BARCODE)),
+        Rule("name", (Step("barcode", strict=True), Step("price", strict=True))),
+    )
     return s.done(stated, lambda x: 5 * (not x["sku"]) + 3 * (len(x["name"]) <= 4))
 
 
@@ -164,91 +221,34 @@ def pharmacy_zone(s: Strip) -> None:
             return
 
 
-def is_filler(x: dict) -> bool:
-    return x["junk"] or x["separator"] or x["length"] <= 2 or x["number"]
+#: A quantity counts after a price only behind the item's barcode.
+QTY_OF_BARCODE = Step("qty", optional=True, given="barcode")
+#: Above a price: a name with its barcode, close enough for the price to be theirs.
+CODED_ABOVE = (Step("barcode", strict=True, past="qty_or_junk", most=2), Step("name"))
+#: Above a name: a price that may be its own, whatever barcodes lie between.
+AMOUNT_ABOVE = (Step("bare_amount", past="barcode", most=sys.maxsize),)
 
-
-def past_filler(s: Strip, i: int, most: int = 3) -> int | None:
-    """The next open price line, past fewer than ``most`` lines that mean nothing."""
-    passed = 0
-    for j in range(i + 1, s.n):
-        if s.open[j]:
-            x = s.lines[j]
-            if x["price"] is not None:
-                return j
-            passed += 1
-            if passed >= most or not (is_filler(x) or x["mode"] or x["payment"]):
-                return None
-    return None
-
-
-def barcode_then_qty(s: Strip, j: int) -> tuple[int | None, int | None]:
-    """The barcode after a price and, only if there is one, the quantity after it."""
-    b = (s.follow(j, (Step("barcode"),)) or {}).get("barcode")
-    q = (s.follow(b, (Step("qty"),)) or {}).get("qty") if b is not None else None
-    return b, q
-
-
-def named_before(s: Strip, i: int) -> bool:
-    """Whether a name with its barcode stands within three lines before a price, which is then that name's."""
-    b = s.beyond(i, -1, lambda x: not x["barcode"] and (x["qty"] is not None or x["junk"] or x["separator"]), 3)
-    if b is None or not s.lines[b]["barcode"]:
-        return False
-    above = [k for k in range(s.start, b) if s.open[k]]
-    return bool(above) and s.lines[above[-1]]["name"]
-
-
-def price_above(s: Strip, i: int) -> bool:
-    """Whether the first open line above a name that is no barcode is a price."""
-    for k in range(i - 1, s.start - 1, -1):
-        if s.open[k] and not s.lines[k]["barcode"]:
-            return s.lines[k]["price"] is not None
-    return False
-
-
-def of(s: Strip, q: int | None) -> tuple[int | None, float | None]:
-    return (None, None) if q is None else (s.lines[q]["qty"], s.lines[q]["unit"])
+#: Rules before and after the names whose barcode comes ahead of the price.
+PHARMACY = (
+    Rule("name", (Step("barcode", strict=True), Step("qty", strict=True), Step("price", strict=True))),
+    Rule(
+        "name",
+        (Step("amount", past="pause", most=2), MAYBE_BARCODE, QTY_OF_BARCODE),
+        holds=lambda s, got: s.is_("price", got["amount"]) and (s.lines[got["amount"]]["taxed"] or "barcode" in got or bool(got.passed)),
+    ),
+    Rule("taxed_price", (Step("name"), MAYBE_QTY, MAYBE_BARCODE), above=CODED_ABOVE),
+    Rule("plain_price", (Step("name"), Step("price", absent=True), MAYBE_BARCODE)),
+)
+PHARMACY_LEFT = (Rule("loose", (Step("any_price"), MAYBE_BARCODE, QTY_OF_BARCODE)),)
 
 
 def pharmacy(s: Strip, stated: int | None) -> list[dict]:
     pharmacy_zone(s)
-    L = s.lines
-    strict = {"strict": True}
-    s.sequence("name", (Step("barcode", **strict), Step("qty", **strict), Step("price", **strict)))
-    for i in s.zone():  # name, filler, price
-        if not s.open[i] or not L[i]["name"]:
-            continue
-        j = past_filler(s, i)
-        if j is None or not s.priced(j):
-            continue
-        between = [k for k in range(i + 1, j) if s.open[k]]
-        b, q = barcode_then_qty(s, j)
-        if L[j]["taxed"] or b is not None or between:
-            s.add(i, L[i]["item"], L[j]["price"], b, *of(s, q))
-            s.take(i, j, b, q, *between)
-    for i in s.zone():  # taxed price, then its name
-        if s.open[i] and L[i]["taxed"] and s.priced(i) and not named_before(s, i):
-            j = s.next(i + 1)
-            if j is not None and L[j]["name"]:
-                got = s.follow(j, (MAYBE_QTY, MAYBE_BARCODE)) or {}
-                s.add(j, L[j]["item"], L[i]["price"], got.get("barcode"), *of(s, got.get("qty")))
-                s.take(i, j, *got.values())
-    for i in s.zone():  # untaxed price, then a name that has no price after it
-        if s.open[i] and not L[i]["taxed"] and s.priced(i):
-            j = s.next(i + 1)
-            if j is None or not L[j]["name"] or s.priced(s.next(j + 1)):
-                continue
-            got = s.follow(j, (MAYBE_BARCODE,)) or {}
-            s.add(j, L[j]["item"], L[i]["price"], got.get("barcode"))
-            s.take(i, j, *got.values())
-    for i in s.zone():  # name, filler or quantity, barcode, price
-        if s.open[i] and L[i]["name"] and not price_above(s, i):
+    s.apply(*PHARMACY)
+    for i in s.zone():
+        if s.lines[i]["name"] and s.follow(i, AMOUNT_ABOVE, -1) is None:
             coded_name(s, i)
-    for i in s.zone():  # name, then any price
-        if s.open[i] and L[i]["loose"] and (got := s.follow(i, (Step("any_price"),))):
-            b, q = barcode_then_qty(s, got["any_price"])
-            s.add(i, L[i]["item"], L[got["any_price"]]["price"], b, *of(s, q))
-            s.take(i, got["any_price"], b, q)
+    s.apply(*PHARMACY_LEFT)
     s.inline((MAYBE_BARCODE,))
     s.items.sort(key=lambda x: x["src"])
     orphan(s)
@@ -261,10 +261,10 @@ def pharmacy(s: Strip, stated: int | None) -> list[dict]:
 def coded_name(s: Strip, i: int) -> None:
     """An item whose barcode follows its name, past filler or a quantity, and whose price follows the barcode."""
     L = s.lines
-    b = s.beyond(i, 1, lambda x: not x["barcode"] and (x["qty"] is not None or is_filler(x)), 5)
-    if b is None or not L[b]["barcode"]:
+    found = s.look(i, Step("barcode", strict=True, past="qty_or_filler", most=4))
+    if found is None:
         return
-    between = range(i + 1, b)
+    b, between = found
     q = max((k for k in between if L[k]["qty"] is not None), default=None)
     after = L[b + 1] if b + 1 < s.n and s.open[b + 1] else None
     price = after and after["price"]
@@ -274,10 +274,10 @@ def coded_name(s: Strip, i: int) -> None:
             s.add(i, L[i]["item"], saved[0], b)
             s.take(i, b, *between)
     elif q is not None and b + 2 < s.n and L[b + 2]["total"]:  # the price is the total's
-        s.add(i, L[i]["item"], round(L[q]["qty"] * L[q]["unit"], 2), b, *of(s, q))
+        s.add(i, L[i]["item"], round(L[q]["qty"] * L[q]["unit"], 2), b, *s.count({"qty": q}))
         s.take(i, b, *between)
-    elif s.priced(b + 1):
-        s.add(i, L[i]["item"], price, b, *of(s, q))
+    elif s.is_("price", b + 1):
+        s.add(i, L[i]["item"], price, b, *s.count({"qty": q}))
         s.take(i, b, b + 1, *between)
 
 
