@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slips.plans import queries_pages, queries_parts, queries_receipts, queries_rules
+from slips.plans import queries_forms, queries_pages, queries_parts, queries_receipts, queries_rules
 
-MODULES = [queries_receipts, queries_parts, queries_rules, queries_pages]
+MODULES = [queries_receipts, queries_parts, queries_rules, queries_pages, queries_forms]
 
 
 def flagship(spark, sf_dir):
