@@ -94,6 +94,25 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int)
     return found.unionByName(rest)
 
 
+#: Bits of a filter: 2**18 rows of 64.
+FILTER_BITS = 24
+
+
+def maybe_in(rows: DataFrame, listed: DataFrame, **keys: Column) -> DataFrame:
+    """``rows`` with ``__maybe``: false only where ``keys`` (name in ``listed`` to expression over rows) are not listed.
+
+    The list is broadcast as a bitmap of 2**FILTER_BITS hashes, whose size does not grow with it; the longer the list, the more
+    rows are taken for listed ones. Nothing of ``rows`` is shuffled.
+    """
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
+    set_bits = listed.select(place([F.col(k) for k in keys]).alias("__p"))
+    bitmap = set_bits.groupBy(F.shiftright("__p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__p % 64 as int))")).alias("__bits"))
+    seen = rows.withColumn("__p", place(list(keys.values()))).withColumn("__word", F.shiftright("__p", 6))
+    seen = seen.join(F.broadcast(bitmap), "__word", "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(__bits, cast(__p % 64 as int)) & 1L"), F.lit(0)) == 1
+    return seen.withColumn("__maybe", hit).drop("__p", "__word", "__bits")
+
+
 def without(docs: DataFrame, dropped: DataFrame, **keys: Column) -> DataFrame:
     """``docs`` less the rows whose ``keys`` (name in ``dropped`` to expression over docs) are listed; nulls match nulls.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, once, read_table, stash, with_groups, without
+from .common import BROADCAST_ROWS, maybe_in, once, read_table, stash, with_groups, without
 
 #: Code points of the prefix that the second level hashes.
 PREFIX = 64
@@ -22,8 +22,8 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     """One row per input row: id, keep_id, group_size, kept and the text's SHA-256.
 
     The digest is null for rows that an earlier level has already shown to be unique, unless
-    ``digest_all`` asks for it. Only the narrow keys are shuffled, never texts, as long as the
-    surviving groups fit ``BROADCAST_ROWS``.
+    ``digest_all`` asks for it. Only narrow keys are shuffled, never texts: surviving groups beyond
+    ``BROADCAST_ROWS`` reach the texts as a bitmap, so that some unique rows are hashed as well.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
@@ -36,12 +36,15 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     groups = stash(groups.join(lengths, "len", "left_semi").select("len", "prefix", F.lit(True).alias("open")), "dedup-open")
     small = groups.count() <= BROADCAST_ROWS
     # Level 3: the full content of rows in surviving groups.
-    marked = rows.join(F.broadcast(groups) if small else groups, ["len", "prefix"], "left")
+    if small:
+        marked = rows.join(F.broadcast(groups), ["len", "prefix"], "left").withColumn("open", F.col("open").isNotNull())
+    else:
+        marked = maybe_in(rows, groups, len=F.col("len"), prefix=F.col("prefix")).withColumnRenamed("__maybe", "open")
     digest = F.sha2(F.col("t"), 256)
     hashed = stash(
         marked.select(
             "id",
-            F.col("open").isNotNull().alias("open"),
+            "open",
             F.unhex(digest if digest_all else F.when(F.col("open"), digest)).alias("sha"),
         ),
         "dedup-sha",

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, once, read_table, stash, with_groups, without
+from .common import BROADCAST_ROWS, maybe_in, once, read_table, stash, with_groups, without
 from .texts import mix, powers, slices, text_buffer, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -135,11 +135,13 @@ def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def nodes_texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """One text for each wanted node (nid, key)."""
+    """One text for each wanted node (nid, key); copies meet within their tasks before a text is shuffled."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("t")).withColumn("key", F.unhex(F.md5(F.col("t").cast("binary"))))
-    small = wanted.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(wanted) if small else wanted, "key").select("nid", "t").dropDuplicates(["nid"])
+    if wanted.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), "key").select("nid", "t").dropDuplicates(["nid"])
+    listed = maybe_in(rows, wanted, key=F.col("key")).where("__maybe").groupBy("key").agg(F.min("t").alias("t"))
+    return listed.join(wanted, "key").select("nid", "t")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:

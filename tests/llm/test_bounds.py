@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from slips.llm import decontam, near, quality
+from slips.llm import common, decontam, exact_dedup, near, quality
 
 
 def jaccard(a, b):
@@ -62,3 +63,25 @@ def test_decontamination_bounds(spark, monkeypatch):
     assert {tuple(r) for r in got} == {
         (1, 6, 5, 40, ids, True, 1), (None, 5, 5, 40, ids, True, 1), (5, 5, 5, 40, ids, True, 2500), (2, 3, 0, 0, none, False, 1), (3, 0, 0, 0, none, False, 1),
     }
+
+
+@pytest.mark.parametrize("bits", [7, 24])
+def test_lists_beyond_broadcast_reach_texts_as_a_bitmap(spark, monkeypatch, bits):
+    """No listed row is missed, however full the bitmap is, and results are those of the broadcast list."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    texts += texts[:40] + [texts[3]] * 300 + [f"{t} more" for t in texts[50:90]] + ["", None, "é" * 70, "é" * 70]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want_exact = exact_dedup.refine(docs, digest_all=True).collect()
+    want_near = near.classes(docs).collect() if bits == 7 else None
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    for module in (common, exact_dedup, near):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 5)
+    listed = docs.where("doc_id % 7 = 0 or text is null").select("text")
+    seen = common.maybe_in(docs, listed, text=F.col("text")).where("doc_id % 7 = 0 or text is null").groupBy("__maybe").count().collect()
+    assert [r["__maybe"] for r in seen] == [True]
+    assert sorted(exact_dedup.refine(docs, digest_all=True).collect()) == sorted(want_exact)
+    unhashed = exact_dedup.refine(docs).where("text_sha256 is null and group_size > 1")
+    assert unhashed.count() == 0
+    if want_near:
+        assert sorted(near.classes(docs).collect()) == sorted(want_near)
