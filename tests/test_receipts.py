@@ -3,12 +3,13 @@
 import random
 import re
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from slips.functions import patterns
-from slips.operators import classify, correct, fields
-from slips.plans import queries_parts, receipts
+from slips.operators import classify, correct, fields, geometry, orientation, pairing
+from slips.plans import queries_parts, queries_receipts, receipts
 from pyspark.sql import functions as F
 
 PHARMACY = "MERCURY DRUG - RIZAL BANANGONAN EM COMPLEX ¦ EM Complex, Manila East Road, ¦ Brgy.Pantok,Binangonan, Rizal ¦ VAT REG TIN : 000-388-474-00778 ¦ MOBILE/VIBER NO : 0908813-2818 ¦ TOSHIBA4900 41CRD20R003 01070 ¦ PA99S/S ¦ 1220.00T ¦ NIDO5+PDR MLK2kg ¦ 480036140523 ¦ 90.00T ¦ GREEN COF MX219 ¦ TOTAL ¦ 1310.00 ¦ AMOUNT TENDERED ¦ CASH ¦ 2000.00 ¦ CHANGE ¦ 690.00 ¦ ** 2 item(s) ** ¦ VAT - 12%  140.36 ¦ TXN#110855 11-13-25 02:15P EJ ¦ INVOICE#110703137533"
@@ -138,3 +139,24 @@ def test_register_layout(spark):
     finally:
         classify.SIGNATURES.pop("kiosk")
         receipts.EXTRA.pop("kiosk")
+
+
+def test_features_come_as_lists():
+    """Columns of features become Python values column by column, nulls and nested structs included."""
+    kind = pa.list_(pa.struct([("a", pa.bool_()), ("b", pa.float64()), ("c", pa.int32()), ("d", pa.struct([("n", pa.string()), ("q", pa.int32())]))]))
+    one = {"a": True, "b": 1.5, "c": None, "d": {"n": "x", "q": None}}
+    two = {"a": False, "b": None, "c": 7, "d": None}
+    rows = [[one, two], [], [two], [one, one, two]]
+    assert pairing.nested(pa.array(rows, kind)) == rows
+    assert pairing.nested(pa.array(rows, kind).slice(2)) == rows[2:]
+
+
+def test_rows_are_found_once(spark):
+    """Sections and orientation evaluate what they are given once, however often they look at it."""
+    made = geometry.sections(geometry.rows(F.col("lines"))), orientation.spatial_orientation(F.reverse("own"), F.array_max("own"))
+    assert [str(c._jc.toString()).count(name) for c, name in zip(made, ("lines", "own"), strict=True)] == [1, 2]
+
+
+def test_receipts_keep_their_partitions(spark):
+    """Adaptive execution doesn't join the partitions of rendered receipts, whose work is long for their bytes."""
+    assert queries_receipts.docs(spark, "/root/testdata/sf0.001").select("doc_id").rdd.getNumPartitions() >= 48
