@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,12 +15,31 @@ from slips.functions.text import either, let, rx, strip
 SIGNATURES = dict(P.SIGNATURES)
 
 
+def needed(pattern: str) -> str | None:
+    """The longest run of capitals that every match of a pattern holds; None where it cannot be told simply."""
+    if re.search(r"[|()\[\]{}*^$.]", pattern):
+        return None
+    pieces = [x for x in re.split(r"\\.\+?|.\?|[^A-Z]", pattern) if len(x) > 2]
+    return max(pieces, key=len, default=None)
+
+
+def folded(text: Column) -> Column:
+    """Upper case, also of the two signs that match K and I without regard to case but are no small letters."""
+    return F.upper(F.replace(F.replace(text, F.lit("\u212a"), F.lit("K")), F.lit("\u0130"), F.lit("I")))
+
+
 def by_chain(lines: Column) -> Column:
-    """Type whose chain name occurs; blanks in a name may be a line break."""
-    def named(block):
-        return F.coalesce(*[F.when(block.rlike(rx(either(chains))), name) for name, (chains, _) in SIGNATURES.items()])
+    """Type whose chain name occurs; blanks in a name may be a line break. A pattern is tried only on texts that hold the
+    capitals it needs."""
+    def named(v):
+        def occurs(chains):
+            words = [needed(c) for c in chains]
+            found = v["block"].rlike(rx(either(chains)))
+            return found if None in words else reduce(lambda a, b: a | b, (v["folded"].contains(w) for w in words)) & found
+
+        return F.coalesce(*[F.when(occurs(chains), name) for name, (chains, _) in SIGNATURES.items()])
 
-    return let(F.array_join(lines, "\n"), named)
+    return let(F.array_join(lines, "\n"), lambda block: let(F.struct(block.alias("block"), folded(block).alias("folded")), named))
 
 
 def by_layout(lines: Column) -> Column:
