@@ -37,17 +37,20 @@ def _axis(box: Column, axis: int) -> Column:
 
 
 def height(line: Column) -> Column:
-    ys = _axis(line["bbox"], 1)
-    return F.array_max(ys) - F.array_min(ys)
+    return let(_axis(line["bbox"], 1), lambda ys: F.array_max(ys) - F.array_min(ys))
 
 
 def position(line: Column) -> Column:
     """struct<top, left, width, height> of a box, in whole pixels."""
-    xs, ys = _axis(line["bbox"], 0), _axis(line["bbox"], 1)
+    span = lambda a: F.struct(F.array_min(a).alias("low"), F.array_max(a).alias("high"))
     whole = lambda c: c.cast("int")
-    return F.struct(
-        whole(F.array_min(ys)).alias("top"), whole(F.array_min(xs)).alias("left"),
-        whole(F.array_max(xs) - F.array_min(xs)).alias("width"), whole(F.array_max(ys) - F.array_min(ys)).alias("height"),
+    spans = F.struct(let(_axis(line["bbox"], 0), span).alias("x"), let(_axis(line["bbox"], 1), span).alias("y"))
+    return let(
+        spans,
+        lambda s: F.struct(
+            whole(s["y"]["low"]).alias("top"), whole(s["x"]["low"]).alias("left"),
+            whole(s["x"]["high"] - s["x"]["low"]).alias("width"), whole(s["y"]["high"] - s["y"]["low"]).alias("height"),
+        ),
     )
 
 
@@ -64,21 +67,23 @@ def tolerance(lines: Column) -> Column:
 
 
 def _rows_of(lines: Column) -> Column:
-    """Lines with their row's number: a line within tolerance of the row's first line joins it."""
+    """struct<placed, breaks>: lines from top to bottom, and where rows begin, with the end of the last one. A line within
+    tolerance of the row's first line joins it."""
 
     def place(own):
         placed = F.sort_array(F.transform(own, lambda x, i: F.struct(y_of(x).alias("y"), x_of(x).alias("x"), i.alias("i"), x.alias("line"))))
         return let(F.struct(placed.alias("placed"), tolerance(own).alias("tolerance")), number)
 
     def number(v):
-        start = F.struct(F.lit(0).alias("row"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("out"))
+        start = F.struct(F.lit(0).alias("k"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("out"))
 
         def step(acc, p):
             same = acc["anchor"].isNotNull() & (F.abs(p["y"] - acc["anchor"]) <= v["tolerance"])
-            row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
-            return F.struct(row.alias("row"), F.when(same, acc["anchor"]).otherwise(p["y"]).alias("anchor"), F.array_append(acc["out"], row).alias("out"))
+            joined = F.struct((acc["k"] + 1).alias("k"), acc["anchor"].alias("anchor"), acc["out"].alias("out"))
+            opened = F.struct((acc["k"] + 1).alias("k"), p["y"].alias("anchor"), F.array_append(acc["out"], acc["k"]).alias("out"))
+            return F.when(same, joined).otherwise(opened)
 
-        return F.aggregate(v["placed"], start, step, lambda acc: F.zip_with(v["placed"], acc["out"], lambda p, r: p.withField("row", r)))
+        return F.aggregate(v["placed"], start, step, lambda acc: F.struct(v["placed"].alias("placed"), F.array_append(acc["out"], acc["k"]).alias("breaks")))
 
     return let(lines, place)
 
@@ -87,36 +92,43 @@ def _row(items: Column, number: Column) -> Column:
     """One formatted row from its items in reading order."""
     right = lambda p: F.array_max(_axis(p["line"]["bbox"], 0))
     left = lambda p: F.array_min(_axis(p["line"]["bbox"], 0))
-    opens = F.transform(items, lambda p, i: F.when(i > 0, left(p) - right(F.get(items, i - 1)) >= COLUMN_GAP).otherwise(False))
-    pieces = F.transform(
-        items,
-        lambda p, i: F.concat(F.when(i == 0, "").when(F.get(opens, i), "  ").otherwise(" "), p["line"]["text"]),
-    )
-    confidence = F.aggregate(items, F.lit(0.0), lambda a, p: a + F.coalesce(p["line"]["confidence"], F.lit(0.0))) / F.size(items)
+    gaps = F.transform(items, lambda p, i: F.when(i > 0, left(p) - right(F.get(items, i - 1)) >= COLUMN_GAP).otherwise(False))
+
+    def told(opens):
+        pieces = F.transform(
+            items,
+            lambda p, i: F.concat(F.when(i == 0, "").when(F.get(opens, i), "  ").otherwise(" "), p["line"]["text"]),
+        )
+        confidence = F.aggregate(items, F.lit(0.0), lambda a, p: a + F.coalesce(p["line"]["confidence"], F.lit(0.0))) / F.size(items)
+        return _formatted(number, F.array_join(pieces, ""), F.size(items), F.size(F.filter(opens, lambda o: o)) + 1, confidence, F.get(items, 0)["y"])
+
+    return let(gaps, told)
+
+
+def _formatted(number: Column, text: Column, items: Column, columns: Column, confidence: Column, y: Column) -> Column:
     return F.struct(
-        number.alias("row_number"), F.array_join(pieces, "").alias("text"), F.size(items).alias("item_count"),
-        (F.size(F.filter(opens, lambda o: o)) + 1).alias("columns"), F.round(confidence, 3).alias("confidence"),
-        F.get(items, 0)["y"].alias("y_position"), F.lit(None).cast("boolean").alias("merged"),
+        number.alias("row_number"), text.alias("text"), items.alias("item_count"), columns.alias("columns"),
+        F.round(confidence, 3).alias("confidence"), y.alias("y_position"), F.lit(None).cast("boolean").alias("merged"),
     )
 
 
+def _lone(p: Column, number: Column) -> Column:
+    """The formatted row of one item."""
+    return _formatted(number, F.coalesce(p["line"]["text"], F.lit("")), F.lit(1), F.lit(1), F.coalesce(p["line"]["confidence"], F.lit(0.0)), p["y"])
+
+
 def rows(lines: Column) -> Column:
     """array<struct<row_number, text, item_count, columns, confidence, y_position, merged>>"""
 
-    def build(placed):
-        # Rows are runs of the placed lines, each from one break to the next.
-        breaks = F.filter(F.transform(placed, lambda p, i: F.when((i == 0) | (p["row"] != F.get(placed, i - 1)["row"]), i)), lambda i: i.isNotNull())
-        return let(F.struct(placed.alias("placed"), F.array_append(breaks, F.size(placed)).alias("breaks")), cut)
-
     def cut(v):
         def of(start, k):
-            own = F.slice(v["placed"], start + 1, F.get(v["breaks"], k + 1) - start)
-            across = F.sort_array(F.transform(own, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y"), p["line"].alias("line"))))
-            return let(across, lambda items: _row(items, k + 1))
+            n = F.get(v["breaks"], k + 1) - start
+            across = F.sort_array(F.transform(F.slice(v["placed"], start + 1, n), lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y"), p["line"].alias("line"))))
+            return F.when(n == 1, let(F.get(v["placed"], start), lambda p: _lone(p, k + 1))).otherwise(let(across, lambda items: _row(items, k + 1)))
 
         return F.transform(F.slice(v["breaks"], 1, F.size(v["breaks"]) - 1), of)
 
-    return let(_rows_of(lines), build)
+    return let(_rows_of(lines), cut)
 
 
 def contains_price(text: Column) -> Column:
@@ -160,10 +172,10 @@ def merged(rows_: Column) -> Column:
         )
 
     # A head has a price and what it takes in has none, so no row is both.
-    kept = F.transform(
-        rows_, lambda r, i: F.when(heads(r, i), join(r, i)).when((i > 0) & F.coalesce(heads(F.get(rows_, i - 1), i - 1), F.lit(False)), None).otherwise(r)
-    )
-    return F.array_compact(kept)
+    def kept(heads_):
+        return F.transform(rows_, lambda r, i: F.when(F.get(heads_, i), join(r, i)).when((i > 0) & F.get(heads_, i - 1), None).otherwise(r))
+
+    return F.array_compact(let(F.transform(rows_, heads), kept))
 
 
 def structure(rows_: Column, sections_: Column) -> Column:
