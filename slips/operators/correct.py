@@ -30,9 +30,18 @@ def confusions(line: Column) -> Column:
     return F.when(line.rlike(MISREAD), reduce(lambda c, r: F.replace(c, F.lit(MARK + r[0]), F.lit(r[1])), REPAIRED.items(), marked)).otherwise(line)
 
 
+def may_need(line: Column) -> Column:
+    """Whether a correction could fit a line: cheap tests, at least one of which holds wherever one does. Words that are
+    corrected without regard to case are told by parts whose letters have no other forms than two."""
+    has, small = line.contains, F.lower(line).contains
+    amount, times = has("P") & has("."), (has("x") | has("X")) & line.rlike(rx(r"\d\s+[xX]\s+\d", False))
+    tests = [line.rlike("[A-Z][a-z]|[a-z][A-Z]"), amount, *map(has, ("_", "¥", "MIN", "ID#", "CARE", "SUPPORT", "SERVICE", "CENTER", "STORE")), times, small("phone"), small("onal"), line.rlike(MISREAD)]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def correct_line(line: Column) -> Column:
     """All corrections of one line; null and empty lines stay as they are."""
-    return rewrite(confusions(rewrite(line, P.CORRECT_SYMBOLS)), P.CORRECT_WORDS)
+    return F.when(may_need(line), rewrite(confusions(rewrite(line, P.CORRECT_SYMBOLS)), P.CORRECT_WORDS)).otherwise(line)
 
 
 def enhance_line(line: Column) -> Column:

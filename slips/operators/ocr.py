@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slips.functions.text import let
+
 from .correct import correct_ocr_lines
 from .geometry import has_box, height, position
 
@@ -77,17 +79,17 @@ def confident(lines: Column, least: float = DROP_SCORE) -> Column:
 
 
 def mean_height(lines: Column) -> Column:
-    boxed = F.transform(F.filter(lines, has_box), height)
-    return F.when(F.size(boxed) > 0, F.aggregate(boxed, F.lit(0.0), lambda a, h: a + h) / F.size(boxed)).otherwise(0.0)
+    mean = lambda tall: F.when(F.size(tall) > 0, F.aggregate(tall, F.lit(0.0), lambda a, h: a + h) / F.size(tall)).otherwise(0.0)
+    return let(F.transform(F.filter(lines, has_box), height), mean)
 
 
 def wants_retry(lines: Column) -> Column:
-    return (mean_height(lines) > 0) & (mean_height(lines) < SMALL_TEXT)
+    return let(mean_height(lines), lambda h: (h > 0) & (h < SMALL_TEXT))
 
 
 def better_pass(plain: Column, small: Column) -> Column:
     """The small-text pass if it was called for and found more lines."""
-    return F.when(wants_retry(plain) & (F.size(small) > F.size(plain)), small).otherwise(plain)
+    return let(plain, lambda own: F.when(wants_retry(own) & (F.size(small) > F.size(own)), small).otherwise(own))
 
 
 def mean_confidence(lines: Column) -> Column:
