@@ -128,11 +128,13 @@ def merge_results(parts: DataFrame, extra: dict[str, Column] | None = None) -> D
         F.count(F.lit(1)).alias("merged_from"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(good, F.struct("part_no", "lines")))), lambda x: x["lines"])).alias("good_lines"),
         F.coalesce(F.sum(F.when(good, F.col("processing_time_ms"))), F.lit(0)).alias("good_ms"),
-        F.first("status").alias("only_status"), F.first("lines").alias("only_lines"), F.first("processing_time_ms").alias("only_ms"),
+        F.first("status").alias("only_status"), F.first("processing_time_ms").alias("only_ms"),
+        # Lines are carried once: those of successes are among the good ones.
+        F.first(F.when(good, None).otherwise(F.col("lines"))).alias("only_lines"),
         *(column.alias(name) for name, column in extra.items()),
     )
     one = F.col("merged_from") == 1
-    lines = F.when(one, F.col("only_lines")).otherwise(F.col("good_lines"))
+    lines = F.when(one & F.coalesce(F.col("only_status") != "success", F.lit(True)), F.col("only_lines")).otherwise(F.col("good_lines"))
     return grouped.select(
         "doc_id",
         F.when(one, F.col("only_status")).otherwise("success").alias("status"),

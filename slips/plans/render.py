@@ -31,7 +31,7 @@ def price_text(cents: Column) -> Column:
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, layout and lines: one shuffle by order key, then expressions over each order's own lines."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    grouped = spread(spark, order_lines(spark, sf_dir), "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    grouped = spread(spark, order_lines(spark, sf_dir), "l_orderkey", table(spark, sf_dir, "lineitem").select("l_orderkey")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     total = F.aggregate(F.transform("xs", lambda x: x["cents"]), F.lit(0).cast("long"), lambda a, c: a + c)
     whole = grouped.join(orders, grouped.l_orderkey == orders.o_orderkey).withColumn("total", total + 10_000_007)
     kind = F.pmod("o_orderkey", F.lit(6)).cast("int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slips.functions import patterns as P
 from slips.functions.text import either, let, rx
 from slips.operators import classify, correct, geometry, ocr, orientation
+from slips.session import GROWTH, spread
 
 ODD = [
     None, "", " ", "GRAND TOTAL 5.00", "P5.00", "P 1,220.50", "xP 5.00", "¥5.00", "2 x 3", "2 X 3", "12_3", "2O5", "3l4", "٣O٤", "A0B", "É1É", "ABCdef", "abCd", "SANFernando", "BOOKSTORE",
@@ -52,3 +53,19 @@ def test_rows_of_one_and_of_several_items(spark):
         (1, "a  b", 2, 2, 0.25, 0.0), (2, "", 1, 1, 0.7, 60.0), (3, "$5.00", 1, 1, 0.9, 100.0), (4, "c d", 2, 1, 0.375, 130.0)
     ]
     assert [(x["text"], x["merged"]) for x in got[1]["m"]][2:] == [("$5.00 c d", True)] and got[2]["r"] == [] and got[3]["r"] is None
+
+
+def test_partitions_grow_with_what_is_read(spark, tmp_path):
+    for k in range(3):
+        spark.range(10, numPartitions=1).write.mode("append").parquet(str(tmp_path / "t"))
+    source = spark.read.option("maxPartitionBytes", "1").parquet(str(tmp_path / "t"))
+    few = spread(spark, source, "id").rdd.getNumPartitions()
+    assert spread(spark, source.repartition(40), "id", source.repartition(40)).rdd.getNumPartitions() == 40 * GROWTH > few
+
+
+def test_a_lone_part_passes_whatever_its_status(spark):
+    line = [("a", 0.5, None)]
+    parts = [(1, 1, "success", line, 3), (2, 1, "error", line, 4), (3, 1, None, line, 5), (4, 1, "success", None, 6), (5, 1, "error", line, 7), (5, 2, "success", line, 8)]
+    df = spark.createDataFrame(parts, f"doc_id int, part_no int, status string, lines array<{ocr.LINE}>, processing_time_ms long")
+    got = {r["doc_id"]: (r["status"], r["lines_detected"], r["processing_time_ms"], r["merged_from"]) for r in ocr.merge_results(df).collect()}
+    assert got == {1: ("success", 1, 3, None), 2: ("error", 1, 4, None), 3: (None, 1, 5, None), 4: ("success", 0, 6, None), 5: ("success", 1, 8, 2)}
