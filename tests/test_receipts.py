@@ -2,13 +2,15 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from slips.functions import patterns
-from slips.operators import classify, correct, fields, geometry, orientation, pairing
+from slips.functions.text import matches, rx
+from slips.operators import classify, correct, fields, geometry, items, orientation, pairing
 from slips.plans import queries_parts, queries_receipts, receipts
 from pyspark.sql import functions as F
 
@@ -160,3 +162,18 @@ def test_rows_are_found_once(spark):
 def test_receipts_keep_their_partitions(spark):
     """Adaptive execution doesn't join the partitions of rendered receipts, whose work is long for their bytes."""
     assert queries_receipts.docs(spark, "/root/testdata/sf0.001").select("doc_id").rdd.getNumPartitions() >= 48
+
+
+def test_anchored_alternatives_match_as_before(spark):
+    every = [patterns.RX_JUNK, patterns.RX_METADATA, patterns.RX_PAYMENT, patterns.RX_MODE, rf"^\d+$|{patterns.SEPARATOR}|{patterns.BANNER}", r"a\|b|[|]c|(d|e)"]
+    lines = ["*AB", "SALE LESS BP DISC", "433 Lt. Artiaga", "x [1.2.3]", "MEMBER NA", "see MEMBER NA", "PA 12 S/S", "a PA 12 S/S", "12", "**x**", "-- ", "a|b", "|c", "d", "", None]
+    seen = spark.createDataFrame([(x,) for x in lines], "x string").select(*(F.array(matches(F.col("x"), p), F.col("x").rlike(rx(p))) for p in every)).collect()
+    assert all(a == b for row in seen for a, b in row)
+
+
+def test_long_receipt_takes_time_in_proportion(spark):
+    """The end of the items was sought anew for every line."""
+    docs = spark.createDataFrame([(1, ["STORE", *(f"BREAD {'ABCDEFGHIJ'[k % 10]}   {k}.50" for k in range(1, 8001)), "CHANGE"])], "doc_id long, lines array<string>")
+    begun = time.time()
+    found = docs.select(F.size(items.neighbour_items(F.col("lines"), "generic")).alias("n")).collect()
+    assert found[0].n == 8000 and time.time() - begun < 12
