@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slips.functions.text import clean_lines
 from slips.operators import files, geometry, images, ocr
 from slips.plans import batch, receipts
-from slips.session import table
+from slips.session import spread, table
 from slips.sources.readers import from_line_table, lines_of, to_line_table
 from slips.streaming.ingest import throughput
 
@@ -112,7 +112,8 @@ def src_lines_round_trip(spark, sf_dir):
 @query("doc_text_extract")
 def doc_text_extract(spark, sf_dir):
     """The text entry point over all documents; tests compare it with a slow version."""
-    return receipts.extract(lines_of(table(spark, sf_dir, "documents"))).select("doc_id", "receipt_type", "receipt_type_confidence", "store_name", "item_count")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return receipts.extract(lines_of(spread(spark, docs, "doc_id", docs, 2)), ["doc_id", "receipt_type", "receipt_type_confidence", "store_name", "item_count"])
 
 
 # --- Recognised lines ---------------------------------------------------------------------------------

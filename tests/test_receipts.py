@@ -110,6 +110,19 @@ def test_documents_as_receipts(spark):
         assert (got[r["doc_id"]].receipt_type, got[r["doc_id"]].receipt_type_confidence) == slow_type(lines), r["doc_id"]
 
 
+def test_documents_read_only_what_is_wanted_in_many_tasks(spark):
+    """What no wanted column needs is not read, and a file of one row group is not one task's work."""
+    found = queries_parts.doc_text_extract(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= 48
+    assert "SALESINVOICE" not in found._jdf.queryExecution().optimizedPlan().toString()
+    lines = [["ROSE PHARMACY", "SI# 12345678", "01/02/2024", "BIOGESIC 500MG", "4800000000001", "12.50T", "TOTAL 12.50"], ["A STORE", "TEA  3.00", "VAT 1.20", "TOTAL", "1.00"], []]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id int, lines array<string>")
+    keep = ["doc_id", "extraction_confidence", "extraction_warning", "has_vat", "item_count"]
+    whole = {r.doc_id: r for r in receipts.extract(docs).collect()}
+    for names in (keep, ["doc_id", "store_name", "items"]):
+        assert all(tuple(r) == tuple(whole[r.doc_id][c] for c in names) for r in receipts.extract(docs, names).collect())
+
+
 def test_misread_characters_are_repaired_from_left_to_right(spark):
     """Against the rule told character by character."""
     rand = random.Random(3)
