@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -35,10 +36,15 @@ from .texts import mix, slices, text_buffer
 #: Bytes that the rolling hash sees, mean and least bytes between cuts, and the most.
 SPAN, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Bytes kept of words, chunks and windows in all.
-KEPT = 48 << 20
+KEPT = 128 << 20
 #: Words at each end of a chunk that its join encodes again: the outer one must agree.
 EDGE = 2
 
+#: Words that are encoded at once, parted by blanks.
+RUN = 256
+#: Words that must come out of a run as they do alone, before a tokenizer's words are encoded in runs.
+PROBE = "A b's It'll WORD word2 12,500.75 e-mail@host.org (x) \"quoted.\" a_b ... '' 's #1 <tag> http://a.b/c?d=e&f $5 100% ~ ^".split()
+
 #: A blank, tab or line end parts words.
 _WORD = re.compile(r"[^ \t\n\r]+")
 
@@ -123,6 +129,11 @@ class Cache(dict):
             self.used = 0
 
 
+def steady(word: str) -> bool:
+    """Whether neither small letters nor composed characters change how many bytes a word has."""
+    return word.isascii() or (word == word.lower() and unicodedata.is_normalized("NFC", word))
+
+
 def word_bytes(word: str, ids: bytes | np.ndarray) -> int:
     return len(word) + (len(ids) if isinstance(ids, bytes) else ids.nbytes)
 
@@ -151,6 +162,10 @@ class Encoder:
             self.names[i] = token
         self.words, self.chunks, self.windows = Cache(kept // 2), Cache(kept // 4), Cache(kept // 4)
         self.encoded = self.reused = self.widened = 0
+        end = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        self.lengths = np.array([len(t.removesuffix(end)) for t in self.names])
+        found = self.runs([PROBE])[0]
+        self.in_runs = found == [ids.tobytes() for ids in self.whole(PROBE)]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
@@ -162,10 +177,40 @@ class Encoder:
             return " ".join(map(self.names.__getitem__, ids))
         return self.library.decode(ids, skip_special_tokens=False)
 
+    def runs(self, runs: list[list[str]]) -> list[list[bytes] | None]:
+        """Tokens of the words of each run, encoded as one text; None where its tokens do not end where the words end.
+
+        For words that keep their bytes when normalised (``steady``) and tokens that have as many characters as the bytes they stand for, besides the mark of a word's end; with others the ends do not agree.
+        """
+        found = []
+        for run, ids in zip(runs, self.whole([" ".join(run) for run in runs]), strict=True):
+            long, wanted = self.lengths[ids], np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in run])
+            ends = np.cumsum(long)
+            at = np.searchsorted(ends, wanted)
+            if not len(ids) or long.min() < 1 or ends[-1] != wanted[-1] or (ends[at] != wanted).any():
+                found.append(None)
+                continue
+            places, raw = ((at + 1) * ids.itemsize).tolist(), ids.tobytes()
+            found.append([raw[a:b] for a, b in zip([0, *places], places, strict=False)])
+        return found
+
     def learn_words(self, words: set[str]) -> None:
         new = self.words.missing(words, word_bytes)
-        for w, ids in zip(new, self.whole(new), strict=True):
-            self.words.put(w, ids.tobytes(), word_bytes(w, ids))
+        joined, alone = [], new
+        if self.in_runs:
+            alone = []
+            for w in new:
+                (joined if steady(w) else alone).append(w)
+        runs = [joined[k : k + RUN] for k in range(0, len(joined), RUN)]
+        put = self.words.put
+        for run, coded in zip(runs, self.runs(runs), strict=True):
+            if coded is None:
+                alone += run
+            else:
+                for w, ids in zip(run, coded, strict=True):
+                    put(w, ids, len(w) + len(ids))
+        for w, ids in zip(alone, self.whole(alone), strict=True):
+            put(w, ids.tobytes(), word_bytes(w, ids))
 
     def learn_chunks(self, texts: set[str]) -> None:
         """Encode new chunks, word by word between the joins."""

@@ -299,6 +299,22 @@ def test_bpe_reuses_and_repairs():
         assert e.widened > before and got.tolist() == e.library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_words_are_encoded_in_runs():
+    """New words go to the library some hundred at a time, and come out as they do alone, odd ones included."""
+    r = np.random.default_rng(10)
+    e = bpe.Encoder(bpe.default_tokenizer())
+    odd = ["É", "İ", "ẞ", "é", "e\u0301", "\u0301", "a\xa0b", "\x0b", "a\x1cb", "<|endoftext|>", "</w>", "日本", "🙂", "ΣΑΣ", "ǆ", "it's", "x" * 400]
+    for share in (0.0, 0.001, 0.3):
+        words = {"".join(r.choice([*"abcdefghé0.'"], int(n))) for n in r.integers(1, 12, 3000)}
+        words |= {w + str(k) for k in range(int(1000 * share)) for w in odd} | (set(odd) if share else set())
+        calls, whole = [], e.whole
+        e.whole = lambda texts: calls.append(len(texts)) or whole(texts)  # noqa: B023
+        e.learn_words(words)
+        e.whole = whole
+        assert all(np.frombuffer(e.words[w], np.int32).tolist() == e.library.encode(w, add_special_tokens=False).ids for w in words)
+        assert share or sum(calls) <= len(words) / bpe.RUN + 1
+
+
 def test_bpe_cache_is_bounded_by_bytes():
     r = np.random.default_rng(9)
     e = bpe.Encoder(bpe.default_tokenizer(), kept=200_000)
