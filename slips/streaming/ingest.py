@@ -25,10 +25,16 @@ def start(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def uploads(spark: SparkSession, path: str, files: int = 100, stream: bool = True) -> DataFrame:
+#: Bytes of files that a trigger takes: each trigger lists the folder and plans the query anew, however little it reads.
+TRIGGER = 512 << 20
+
+
+def uploads(spark: SparkSession, path: str, files: int | None = None, stream: bool = True) -> DataFrame:
     """Files that land in a folder, each once: doc_id (the path), filename with a lower-case type, content, and ``refused``,
-    why an upload is not taken (its name, its type, its size or its first bytes). Refused files lose their content."""
-    reader = spark.readStream.option("maxFilesPerTrigger", files) if stream else spark.read
+    why an upload is not taken (its name, its type, its size or its first bytes). Refused files lose their content. A
+    trigger takes ``files`` files, or, if that is None, ``TRIGGER`` bytes of them."""
+    limit = ("maxBytesPerTrigger", TRIGGER) if files is None else ("maxFilesPerTrigger", files)
+    reader = spark.readStream.option(*limit) if stream else spark.read
     raw = reader.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").load(path)
     name = checks.basename(F.col("path"))
     dot = F.regexp_extract(name, r"(\.[^.]*)$", 1)
